@@ -167,8 +167,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     tested = hashed.mapInArrow(test, plus(hashed.schema, maybe=T.BooleanType()))
     some = tested.filter("maybe")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_len"))
-    # One row of each group is left here; rows that repeat its id become one.
-    rest = some.join(_winners(some.select("sha", "n_chars", "doc_id")), "sha").filter(same).dropDuplicates(["sha"])
+    # Both sides of the join are plain exchanges, which Spark can split where a group is large. One row of each group is
+    # left after it; rows that repeat its id become one.
+    winners = written(_winners(some.select("sha", "n_chars", "doc_id")), "winners")
+    rest = written(some.join(winners, "sha").filter(same), "kept").dropDuplicates(["sha"])
     return tested.filter(~F.col("maybe")).select("row.*").unionByName(rest.select("row.*"))
 
 

@@ -11,8 +11,8 @@ and the record's end are checked. A record that fails has an error and no payloa
 comes before the break, and an error.
 
 Defined results: a null html is an empty payload; a null url becomes urn:x-page:<page_id>; a null page_id is written as
-null and read back so, and counts as larger than all others; rows with the same page_id and the same payload: one is
-the response, the others revisit it; payloads under `least` bytes are all responses; an empty table gives no file;
+null and read back so, and counts as larger than all others; rows that repeat the
+response's page_id and payload are responses too; payloads under `least` bytes are all responses; an empty table gives no file;
 other columns are ignored whatever their names.
 """
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import open_fs, scratch
+from tracelake.llm.common import open_fs, scratch, written
 
 #: Fixed values of the formats.
 SKIPPABLE, ZSTD_MAGIC, VERSION = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"WARC/1.1"
@@ -192,8 +192,8 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = "2024-0
     """Write a record for each row of pages (page_id, url, html); returns the manifest (file, n_records)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    first = rows.select("sha", "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # page_id names the response; of rows that share it, which one is left to the task that has them all in order
+    # Written, so that both sides of the join are plain exchanges, which Spark can split where a payload is frequent.
+    first = written(rows.select("sha", "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
     dealt = rows.join(first, "sha").select("page_id", "url", "payload", "sha", "first", ((F.col("n") > 1) & (F.length("payload") >= least)).alias("shared"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,5 +273,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     got = read_pages(spark, path, payloads=False)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
-
-
