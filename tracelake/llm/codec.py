@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, str]:
 class Codec:
     """One tokenizer file, with memos of bounded size. Truncation and padding are switched off."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -110,7 +110,7 @@ class Codec:
         quick = ~odd & ~cut
         off, flat = list_parts(pc.split_pattern(texts.filter(pa.array(quick)), " "))
         enc = flat.dictionary_encode()
-        code = np.asarray(enc.indices).astype(np.int64)
+        code = np.asarray(enc.indices).astype(np.int32)
         pieces = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
         words: list[list[str] | None]
         if self.kind == "byte":
@@ -137,7 +137,7 @@ class Codec:
                         names.append(w)
                         words.append([w])
                 lens[i], starts[i] = len(got), at
-                rest.append(np.fromiter((place[w] for w in got), np.int64, len(got)))
+                rest.append(np.fromiter((place[w] for w in got), np.int32, len(got)))
                 at += len(got)
             code = np.concatenate([code, *rest])
         return np.concatenate([[0], np.cumsum(lens)]), code[ragged(starts, lens)], names, words

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one block of rows holds at about; a longer text is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +81,15 @@ def unpack_strings(b: bytes) -> pa.Array:
         return r.read_all().column(0).combine_chunks()
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Regroup a task's batches into blocks of about `limit` bytes of text; null texts become empty ones."""
     held: list[pa.RecordBatch] = []
@@ -101,8 +111,10 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             if size >= limit or at < batch.num_rows:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                release()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    release()
 
 
 def one_chunk(col: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -155,7 +167,10 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i]+lens[i]-1, one run after the other."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
+    kind = np.int32 if total < 1 << 30 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    out = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def plus(schema: T.StructType, **fields: T.DataType) -> T.StructType:

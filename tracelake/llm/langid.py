@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BLOCK_BYTES, one_chunk, plus, ragged, text_blocks
+from tracelake.llm.common import BLOCK_BYTES, plus, release
 
 SAMPLE, LANGUAGES, PIECE, LETTERS = 60_000, 40, 128, 62
 LONGEST_SAMPLE = 40_000
@@ -192,6 +192,7 @@ def identify(docs: DataFrame, learned: dict[str, str], text_col: str = "text") -
                 lang[at[k:to]], score[at[k:to]] = got, s
                 k = to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "__lang", "__score"])
+            release()
 
     return docs.mapInArrow(predict, plus(docs.schema, __lang=T.StringType(), __score=T.DoubleType()))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bucketed, hash_strings, list_parts, one_chunk, pack, pack_strings, text_blocks, unpack, unpack_strings, written
+from tracelake.llm.common import bucketed, hash_strings, list_parts, one_chunk, pack, pack_strings, release, text_blocks, unpack, unpack_strings, written
 
 TOP, CLASSES = 192, 61
 #: Symbols: words, classes (the last one for endings that are no class of their own), start, end.
@@ -145,6 +145,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+            release()
 
 
 def triple_counts(blocks: DataFrame, top: list[str], ends: list[str]) -> np.ndarray:

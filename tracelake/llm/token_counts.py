@@ -58,7 +58,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     )
 
 
-def cut_total(sums: DataFrame, limit: int) -> Column:
+def cut_total(limit: int) -> Column:
     """Aggregate over suffix_sums(): the total of ids when every document is cut at limit, for any limit.
 
     With L the largest length of at most limit, it is tokens_cut at L plus (limit - L) for each longer document.

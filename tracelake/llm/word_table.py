@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.codec import Codec, byte_letters, codec
-from tracelake.llm.common import bucketed, hash_strings, one_chunk, pack, pack_strings, ragged, text_blocks, unpack, unpack_strings
+from tracelake.llm.common import bucketed, hash_strings, one_chunk, pack, pack_strings, ragged, release, text_blocks, unpack, unpack_strings
 
 BLOCKS = "block long, doc_ids binary, n_units binary, units binary, unit_sizes binary, unit_words binary, words binary"
 
@@ -92,18 +92,20 @@ def encode_words(dealt: DataFrame, tokenizer: str, ranges: int) -> DataFrame:
                         ids = table[w] = np.array(code.word_ids(w), code.dtype).tobytes()
                     got.append(ids)
                 size = np.fromiter(map(len, got), np.int64, len(got)) // code.dtype.itemsize
-                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "sizes": [pack(size.astype("<u2"))], "ids": [pack(np.frombuffer(b"".join(got), code.dtype))]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "sizes": [pack(size.astype("<u4"))], "ids": [pack(np.frombuffer(b"".join(got), code.dtype))]})
+        del table
+        release()
 
     return dealt.repartition(ranges, "range").mapInArrow(encode, "block long, at binary, sizes binary, ids binary")
 
 
 def _placed(row: dict, parts: list[dict], code: Codec) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_ids, number of ids of each document, and all ids, of one block."""
-    n_words = sum(len(unpack(p["sizes"], "<u2")) for p in parts)
+    n_words = sum(len(unpack(p["sizes"], "<u4")) for p in parts)
     size, begin = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
     pools, upto = [], 0
     for p in parts:
-        at, own, ids = unpack(p["at"], "<u4"), unpack(p["sizes"], "<u2").astype(np.int64), unpack(p["ids"], code.dtype)
+        at, own, ids = unpack(p["at"], "<u4"), unpack(p["sizes"], "<u4").astype(np.int64), unpack(p["ids"], code.dtype)
         size[at], begin[at] = own, upto + np.cumsum(own) - own
         pools.append(ids)
         upto += len(ids)
@@ -165,6 +167,7 @@ def _documents(batches: Iterator[pa.RecordBatch], code: Codec) -> Iterator[tuple
         for k in range(batch.num_rows):
             row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
             yield _placed(row, row["parts"] or [], code)
+            release()
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
