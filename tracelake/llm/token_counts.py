@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.codec import codec
-from tracelake.llm.common import one_chunk, text_blocks
+from tracelake.llm.common import one_chunk, text_blocks, written
 
 RANGE = 256
 
@@ -38,8 +38,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L of the histogram, as a context limit: documents and ids of length L or more, the total when
-    documents are cut at L, and the share of documents of length L or less."""
-    h = hist.withColumn("r", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    documents are cut at L, and the share of documents of length L or less. The histogram is written once: it is read twice."""
+    h = written(hist, "lengths").withColumn("r", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     ranges = h.groupBy("r").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # One row for each range of lengths: as many as the longest document has ids, divided by RANGE.
     after = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
