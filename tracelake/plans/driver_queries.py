@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions import grammar, text
-from tracelake.operators import aggregate, graph, joins, search
+from tracelake.functions import diff, grammar, text
+from tracelake.operators import aggregate, graph, joins, live, search, verbatim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,3 +394,69 @@ def zero_match_probe(conversations):
 FROM (SELECT DISTINCT l_orderkey, l_linenumber AS v FROM lineitem WHERE l_linenumber <> 4)) GROUP BY l_orderkey, i""")
 def islands(lineitem):
     return aggregate.islands(lineitem.filter("l_linenumber <> 4").select("l_orderkey", F.col("l_linenumber").alias("v")), ["l_orderkey"], "v")
+
+
+RICH = f"""(length(text) >= 60 OR regexp_matches(lower(text), '{verbatim.NUMBER}') OR regexp_matches(lower(text), '{verbatim.FINDING}') OR regexp_matches(text, '\\b[0-9]*[a-f][0-9a-f]{{6,39}}\\b')
+ OR regexp_matches(text, '[A-Za-z0-9_/-]+\\.[a-z]{{1,4}}:[0-9]+') OR regexp_matches(text, '`[^`]+`'))"""
+SELECTED = (
+    TURNS
+    + f""", a AS (SELECT session_id, turn_index, line_no, length(text) AS n_chars, {RICH} AS rich, row_number() OVER w AS k, count(*) OVER p AS n,
+ first_value(line_no) OVER (PARTITION BY session_id, turn_index ORDER BY length(text) DESC, line_no DESC) AS best FROM t WHERE role <> 'system' WINDOW w AS (PARTITION BY session_id, turn_index ORDER BY line_no), p AS (PARTITION BY session_id, turn_index)),
+b AS (SELECT *, {{kept}} AS kept FROM a), c AS (SELECT *, sum(CAST(kept AS INT)) OVER (PARTITION BY session_id, turn_index ORDER BY line_no) AS run FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index, run, kept ORDER BY line_no) AS j, count(*) OVER (PARTITION BY session_id, turn_index, run, kept) AS m FROM c)
+SELECT session_id, turn_index, line_no, kept, CASE WHEN NOT kept AND j = 1 THEN m END AS dropped_run FROM d"""
+)
+
+
+def selected(conversations: DataFrame, mode: str) -> DataFrame:
+    rows = verbatim.select_messages(turned(conversations).filter("role <> 'system'"), ["session_id", "turn_index"], "line_no", "text", mode, threshold=1, least=60)
+    return rows.select("session_id", "turn_index", "line_no", "kept", "dropped_run")
+
+
+@query(SELECTED.replace("{kept}", "best = line_no OR CASE WHEN k = 1 THEN n_chars >= 60 ELSE rich END"))
+def messages_longest(conversations):
+    return selected(conversations, "longest")
+
+
+@query(SELECTED.replace("{kept}", "k = n"))
+def messages_eot(conversations):
+    return selected(conversations, "eot")
+
+
+@query("""SELECT key, max(event_id) AS event_id FROM (SELECT user_id || ':' || (event_id % 7) AS key, event_type, event_id FROM events) e WHERE event_type = 'view'
+AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id || ':' || (r.event_id % 7) = e.key) GROUP BY 1""")
+def open_questions(events):
+    key = F.concat_ws(":", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string"))
+    phase = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "purchase", "resolved")
+    markers = events.select(key.alias("key"), phase.alias("phase"), F.lit(None).cast("string").alias("ts"), F.col("event_id").alias("line_no"))
+    return live.questions(markers).select("key", F.col("line_no").alias("event_id"))
+
+
+@query("""WITH told AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' END AS state FROM events WHERE event_type IN ('click', 'error') AND event_id % 40 < 2)
+SELECT u.user_id, coalesce(arg_max(state, event_id), 'running') AS state FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN told USING (user_id) GROUP BY 1""")
+def background_tasks(events):
+    task = F.concat(F.lit("t"), F.col("user_id").cast("string"))
+    tasks = events.select(F.lit("s").alias("session_id"), F.col("user_id").alias("call_id"), task.alias("task_id")).distinct()
+    state = F.when(F.col("event_type") == "click", "completed").when(F.col("event_type") == "error", "failed")
+    odd = F.col("event_id") % 2 == 1
+    carriers = events.filter("event_id % 40 < 2").select(F.lit("s").alias("session_id"), F.col("event_id").alias("line_no"), F.when(odd, F.col("user_id")).alias("call_id"), F.when(~odd, task).alias("task_id"), state.alias("state"))
+    return live.background(tasks, carriers).select(F.col("call_id").alias("user_id"), "state")
+
+
+@query()
+def budget_planner(conversations):
+    cost = lambda role: F.sum(F.when(F.col("role") == role, F.length("text"))).alias(f"{'agent' if role == 'assistant' else role}_cost")
+    turns = turned(conversations).groupBy("session_id", F.col("turn_index").alias("turn")).agg(cost("user"), cost("assistant"), F.max("line_no").alias("latest_line"))
+    return verbatim.plan_budget(turns.withColumns({"repeated": F.col("turn") % 3 == 1, "crossed": F.lit(0)}), "session_id", 1500)
+
+
+@query()
+def unified_diff(conversations):
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return conversations.withColumn("before", before).select("conv_id", "turn", diff.unified_diff(F.col("before"), F.col("text")).alias("diff"))
+
+
+@query()
+def char_diff(conversations):
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return conversations.withColumn("before", before).select("conv_id", "turn", F.inline(diff.char_diff(F.col("before"), F.col("text")))).withColumnRenamed("text", "fresh")
