@@ -109,6 +109,43 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [k for k, _ in clean]
 
 
+def jaccard(a, b):
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) or {tuple(t.split())} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_links_are_verified(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data, want, counts = [], [], {}
+    for k, (at, low, high) in enumerate([(0.5, 0.49, 0.51), (0.65, 0.64, 0.66), (0.79, 0.785, 0.7999), (0.81, 0.8, 0.815)] * 12):
+        base = [word() for _ in range(400)]
+        while True:
+            # a common beginning, then other words: the share of common shingles is near `at`
+            n = round(404 * 2 * at / (1 + at)) - 4 + rng.randrange(-2, 3)
+            copy = base[:n] + [word() for _ in range(400 - n)]
+            if low <= jaccard(" ".join(base), " ".join(copy)) <= high:
+                break
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want += [2 * k] if at > 0.8 else [2 * k, 2 * k + 1]
+        counts[at] = counts.get(at, 0) + 1
+    kept = {r.doc_id for r in simhash.keep_one(rows(spark, data)).collect()}
+    assert kept == set(want) and len(counts) == 4
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(150)] for _ in range(3)]
+    data = []
+    for k in range(60):
+        w = list(base[k % 3])
+        w[rng.randrange(150)] = word()
+        data.append((k, " ".join(w)))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 3)
+    assert sorted(r.doc_id for r in simhash.keep_one(rows(spark, data)).collect()) == [0, 1, 2]
+
+
 def bench(spark, items):
     return spark.createDataFrame(items, "item_id long, text string")
 

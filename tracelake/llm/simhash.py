@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import mix64, one_chunk, plus, string_parts, written
+from tracelake.llm.common import mix64, one_chunk, plus, ragged, string_parts, written
 from tracelake.llm.components import components
 
 #: Fingerprints in a strip of a cell, in a chunk of what comes to it, and in a tile.
@@ -66,10 +66,10 @@ def to_word(sums: np.ndarray, n: int) -> np.uint64:
     return np.packbits(2 * sums > n, bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, width: int, text_col: str = "text", second: bool = False) -> DataFrame:
-    """docs with the column __fp (long): the fingerprint; with second also __fp2, from a second hash of each shingle."""
-    names = [*docs.columns, "__fp", *(["__fp2"] if second else [])]
-    schema = plus(docs.schema, __fp=T.LongType(), **({"__fp2": T.LongType()} if second else {}))
+def fingerprints(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """docs with the column __fp (long): the fingerprint."""
+    names = [*docs.columns, "__fp"]
+    schema = plus(docs.schema, __fp=T.LongType())
     where = docs.columns.index(text_col)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +77,12 @@ def fingerprints(docs: DataFrame, width: int, text_col: str = "text", second: bo
             texts = pc.fill_null(batch.column(where).cast(pa.string()), "")
             off, data = string_parts(texts)
             view = memoryview(data)
-            fp, fp2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+            fp = np.zeros(len(texts), np.uint64)
             for i in range(len(texts)):
                 h = shingle_hashes(bytes(view[off[i] : off[i + 1]]), width)
                 if len(h):
                     fp[i] = to_word(bit_sums(h), len(h))
-                    if second:
-                        fp2[i] = to_word(bit_sums(mix64(h)), len(h))
-            more = [pa.array(fp.view(np.int64))] + ([pa.array(fp2.view(np.int64))] if second else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names)
 
     return docs.mapInArrow(mark, schema)
 
@@ -243,27 +240,120 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The stage's fingerprint: 128 bits over distinct shingles of five words. Texts with a Jaccard similarity of 0.8 differ
-#: in 19.4 bits on average (standard deviation 4.1), unrelated ones in 64 (5.7).
-STAGE_WIDTH, STAGE_RADIUS, STAGE_FIRST = 5, 27, 20
+#: The stage's fingerprint: 128 bits over shingles of five words. Texts with a Jaccard similarity of 0.8 differ in 19.4
+#: bits on average (standard deviation 4.1), unrelated ones in 64 (5.7). The radius only finds candidates.
+STAGE_WIDTH, STAGE_RADIUS, STAGE_FIRST = 5, 32, 20
+#: Distinct shingles and texts in a block of a group of candidates; two blocks meet in a task.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 4096
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, fp2, n (distinct shingles), same (a digest of the set of shingles) of docs (doc_id, text)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = string_parts(pc.fill_null(batch["text"], ""))
+            view = memoryview(data)
+            fp, n, same = np.zeros((len(off) - 1, 2), np.uint64), np.zeros(len(off) - 1, np.int64), []
+            for i in range(len(off) - 1):
+                h = shingle_hashes(bytes(view[off[i] : off[i + 1]]), width)
+                distinct = np.unique(h)
+                n[i] = len(distinct)
+                same.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                if len(h):
+                    fp[i] = to_word(bit_sums(h), len(h)), to_word(bit_sums(mix64(h)), len(h))
+            words = [pa.array(fp[:, k].copy().view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *words, pa.array(n), pa.array(same, pa.binary()), batch["words"]], ["doc_id", "fp", "fp2", "n", "same", "words"])
+
+    return docs.mapInArrow(mark, "doc_id long, fp long, fp2 long, n long, same binary, words long")
+
+
+def similar_forest(fp: np.ndarray, fp2: np.ndarray, off: np.ndarray, shingles: np.ndarray, side: np.ndarray | None, radius: int, ratio: float) -> np.ndarray:
+    """Smallest index reachable from each text over pairs within the radius whose exact Jaccard similarity is ratio at least.
+
+    Text i has the distinct shingles shingles[off[i]:off[i + 1]], sorted; side: only texts of different sides are compared.
+    Pairs that are joined already are not looked at.
+    """
+    size = np.diff(off)
+    label = np.arange(len(size))
+    order = np.argsort(size, kind="stable")
+    last = np.searchsorted(size[order], np.floor(size[order] / ratio + 1e-9), "right")
+    for at, i in enumerate(order.tolist()):
+        j = order[at + 1 : last[at]]
+        j = j[label[j] != label[i]]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).astype(np.int16) + np.bitwise_count(fp2[j] ^ fp2[i]) <= radius]
+        if not len(j):
+            continue
+        own = shingles[off[i] : off[i + 1]]
+        if not len(own):
+            # sorted by size: the others have no shingle either
+            alike = j
+        else:
+            theirs = shingles[ragged(off[j], size[j])]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            common = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+            alike = j[common >= ratio * (size[i] + size[j] - common) - 1e-9]
+        if len(alike):
+            joined = np.unique(label[np.append(alike, i)])
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def verified(texts: DataFrame, candidates: DataFrame, width: int, radius: int, ratio: float) -> DataFrame:
+    """Forest edges u, v between the nodes of each group of candidates (node, root, fp, fp2, n) that are similar exactly.
+
+    Only candidates' texts come along. A group is cut into blocks of bounded size, and each two blocks meet in a task.
+    """
+    zero = F.lit(0).cast("long")
+    ceil = lambda n, k: F.ceil(n / F.lit(k)).cast("long")
+    sizes = candidates.groupBy("root").agg(F.greatest(ceil(F.sum("n"), BLOCK_SHINGLES), ceil(F.count(F.lit(1)), BLOCK_TEXTS)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = candidates.join(sizes, "root").withColumn("own", own).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    # the block's side in its pair; a block with itself has one side
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(key.alias("key"), "node", "fp", "fp2", side.cast("long").alias("side"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            node, fp, fp2, side = (np.asarray(one_chunk(group[c])) for c in ("node", "fp", "fp2", "side"))
+            off, data = string_parts(pc.fill_null(one_chunk(group["text"]), ""))
+            view = memoryview(data)
+            sets = [np.unique(shingle_hashes(bytes(view[a:b]), width)) for a, b in zip(off[:-1], off[1:], strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+            label = similar_forest(fp.view(np.uint64), fp2.view(np.uint64), ends, np.concatenate(sets), side if side.any() else None, radius, ratio)
+            u = np.flatnonzero(label != np.arange(len(node)))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[label[u]])], ["u", "v"])
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH, first: int = STAGE_FIRST, radius: int = STAGE_RADIUS, ratio: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest id.
 
-    Two texts are linked when their 128-bit fingerprints differ in `radius` bits at most (in the first word: `first`).
-    Cells are ranges of the number of words, and only equal and adjacent ones are compared: texts of a similarity of
-    `ratio` are never further apart in size. Rows with a null id all stay.
+    Two texts are linked when their sets of shingles have a Jaccard similarity of `ratio` at least. Candidates are texts
+    whose 128-bit fingerprints differ in `radius` bits at most (in the first word: `first`); each link is verified on the
+    shingles themselves (as 64-bit hashes). Cells are ranges of the number of words, and only equal and adjacent ones are
+    compared. Rows with a null id all stay.
     """
     n_words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[ \t-\r]+", " ")), " "))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), n_words.cast("long").alias("n"))
-    marked = written(fingerprints(narrow, width, second=True).select("doc_id", F.col("__fp").alias("fp"), F.col("__fp2").alias("fp2"), "n"), "fingerprints")
-    cell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / (ratio - 0.02)))).cast("long")
-    distinct = written(marked.filter("doc_id IS NOT NULL").groupBy("fp", "fp2", cell.alias("cell")).agg(F.min("doc_id").alias("node")), "distinct")
-    edges = _link(_deal(distinct, [0, 1]), first, radius)
-    same = marked.filter("doc_id IS NOT NULL").select("doc_id", "fp", "fp2", cell.alias("cell")).join(distinct, ["fp", "fp2", "cell"]).filter("doc_id <> node").select(F.col("doc_id").alias("node"), F.col("node").alias("root"))
-    found = components(edges.unionByName(same.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    dropped = found.select(F.col("node").alias("__node"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), n_words.cast("long").alias("words")).filter("doc_id IS NOT NULL")
+    marked = written(sketches(narrow, width), "fingerprints")
+    cell = F.floor(F.log(F.greatest(F.col("r.words"), F.lit(1)).cast("double")) / F.log(F.lit(1 / (ratio - 0.02)))).cast("long")
+    # texts with the same set of shingles are one node
+    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "fp2", "n", "words")).alias("r")).select("same", F.col("r.doc_id").alias("node"), "r.fp", "r.fp2", "r.n", cell.alias("cell")), "distinct")
+    near = components(_link(_deal(distinct.select("node", "fp", "fp2", "cell"), [0, 1]), first, radius))
+    roots = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    edges = verified(narrow, written(distinct.join(roots, "node").select("node", "root", "fp", "fp2", "n"), "candidates"), width, radius, ratio)
+    same = marked.select("doc_id", "same").join(distinct.select("same", "node"), "same").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    dropped = components(edges.unionByName(same)).select(F.col("node").alias("__node"))
     return docs.join(dropped, docs[f"`{id_col}`"] == dropped["__node"], "left_anti")
 
 
