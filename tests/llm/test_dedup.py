@@ -133,6 +133,19 @@ def test_near_links_are_verified(spark):
     assert kept == set(want) and len(counts) == 4
 
 
+def test_repeats_count_once_in_near_links(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one = [word() for _ in range(100)]
+    again = one[:60] + one[:60] * 9 + one[60:]
+    # a long repetition in common, and little else
+    common = [word() for _ in range(10)] * 60
+    apart = [[word() for _ in range(45)] + common for _ in range(2)]
+    data = [(1, " ".join(one)), (2, " ".join(again)), (3, " ".join(one * 3)), (4, " ".join(apart[0])), (5, " ".join(apart[1]))]
+    assert jaccard(data[0][1], data[1][1]) > 0.8 and jaccard(data[3][1], data[4][1]) < 0.3
+    assert sorted(r.doc_id for r in simhash.keep_one(rows(spark, data)).collect()) == [1, 4, 5]
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
