@@ -217,3 +217,19 @@ def test_recall_at_the_most_edits():
         off, seq = decontaminate.word_codes(pa.array([" ".join(["before"] * 50 + w + ["after"] * 50)]))
         found += any(i == k for _, i, *_ in search.search(off, seq))
     assert found >= 18
+
+
+def test_long_items_at_the_most_edits_are_found():
+    rng = random.Random(12)
+    for n in (60, 100, 200, 400):
+        items = [" ".join(f"w{rng.randrange(2000)}" for _ in range(n)) for _ in range(20)]
+        search = decontaminate.Items(list(range(20)), items)
+        found = 0
+        for k, item in enumerate(items):
+            w = item.split()
+            for _ in range(int(decontaminate.EDITS * n)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([["new"], [], [w[at], "more"]])
+            off, seq = decontaminate.word_codes(pa.array([" ".join(["before"] * (n // 2) + w + ["after"] * 50)]))
+            found += any(i == k for _, i, *_ in search.search(off, seq))
+        assert found == 20, (n, found)

@@ -11,8 +11,11 @@ substitutions) of the item.
    by a random bit of the word and step. Few edits give few differing steps, so edit distance becomes Hamming distance.
    Bit sampling: REPEATS independent walks, each sampled at SAMPLES steps, give keys; a window that shares a key with an
    item is a candidate. An item's own text shares all keys; with edits, each walk shares one with a probability of
-   about (1 - d)^SAMPLES for a share d of differing steps, over all windows around the passage.
-3. Each candidate is verified by exact edit distance, so there are no false matches.
+   about (1 - d)^SAMPLES for a share d of differing steps, over all windows around the passage. That share grows with
+   an item's length, so walks alone lose edited copies of long items.
+3. Pigeonhole: k edits leave one of k + 1 pieces of an item as it is. The pieces (two to four words) are looked up
+   exactly, and where one stands the item is a candidate, so no match of any length is left to chance.
+4. Each candidate is verified by exact edit distance, so there are no false matches.
 
 The benchmark is a table of its own; it is taken in parts of at most PART_WORDS words, each with a bounded size, and the
 documents are passed once for each part.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import hash_strings, list_parts, mix64, one_chunk, plus, text_blocks
+from tracelake.llm.common import hash_strings, list_parts, mix64, one_chunk, plus, ragged, text_blocks
 
 #: Share of an item's words that may be edited; least words of an item; walks; sampled steps of a walk.
 EDITS, MIN_WORDS, REPEATS, SAMPLES = 0.2, 5, 24, 3
@@ -43,6 +46,8 @@ EDITS, MIN_WORDS, REPEATS, SAMPLES = 0.2, 5, 24, 3
 WIDEN = 1.25
 #: Words of the benchmark in one pass; bits of the table of word pairs.
 PART_WORDS, PAIR_BITS = 4_000_000, 28
+#: Places of pieces that are looked at together.
+PLACES = 1 << 20
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +72,14 @@ def pair_codes(seq: np.ndarray) -> np.ndarray:
     return mix64(seq[:-1] * _PAIR + seq[1:])
 
 
+def run_codes(seq: np.ndarray, at: np.ndarray, g: int) -> np.ndarray:
+    """A code for each run of g words that begins at one of the places."""
+    code = np.full(len(at), np.uint64(g))
+    for k in range(g):
+        code = mix64(code * _PAIR + seq[at + k])
+    return code
+
+
 def walk(seq: np.ndarray, starts: np.ndarray, n: int, repeat: int, samples: np.ndarray) -> np.ndarray:
     """Keys of windows of n words: the walk's words at the sampled steps, hashed. Past the window it writes zeros."""
     at = starts.astype(np.int64).copy()
@@ -137,6 +150,43 @@ class Items:
                 order = np.argsort(keys, kind="stable")
                 tables.append((keys[order], which[order]))
             self.classes.append((m, mine, steps, tables))
+        #: by words of a piece: sorted codes of pieces with their items and places in them
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for i, w in enumerate(self.words):
+            k = int(EDITS * len(w))
+            g = len(w) // (k + 1)
+            at = np.arange(k + 1) * g
+            rows.setdefault(g, []).append((run_codes(w, at, g), np.full(k + 1, i), at))
+        for g, parts in rows.items():
+            code, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(code, kind="stable")
+            self.pieces[g] = code[order], item[order], at[order]
+
+    def whole_pieces(self, off: np.ndarray, seq: np.ndarray, doc: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Documents, items and supposed beginnings (maybe before the document) where a piece of an item stands."""
+        n = np.array([len(w) for w in self.words])
+        k = (EDITS * n).astype(np.int64)
+        for g, (codes, items, places) in self.pieces.items():
+            # all word pairs of a piece are the benchmark's
+            at = np.flatnonzero(upto[g - 1 :] - upto[: len(upto) - g + 1] == g - 1)
+            got = run_codes(seq, at, g)
+            lo, hi = np.searchsorted(codes, got, "left"), np.searchsorted(codes, got, "right")
+            # bounded runs of places at a time, also where many items have a piece in common
+            w = np.flatnonzero(hi > lo)
+            cuts = np.searchsorted(np.cumsum(hi[w] - lo[w]), np.arange(1, int((hi[w] - lo[w]).sum()) // PLACES + 1) * PLACES)
+            for part in np.split(w, cuts):
+                if not len(part):
+                    continue
+                lens = hi[part] - lo[part]
+                flat = ragged(lo[part], lens)
+                item, stands = items[flat], np.repeat(at[part], lens)
+                d, begin = doc[stands], stands - places[flat]
+                # the item's word pairs that must be left stand within its edits of here
+                first = np.maximum(begin - k[item], off[d])
+                last = np.minimum(begin + n[item] + k[item], off[d + 1]) - 1
+                some = upto[last] - upto[first] >= n[item] - 1 - 2 * k[item]
+                yield d[some], item[some], begin[some]
 
     def search(self, off: np.ndarray, seq: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, begin, end, edits) for each document and item that match: the fewest edits, then the first."""
@@ -148,7 +198,7 @@ class Items:
         at = np.flatnonzero(hit)
         if not len(at):
             return []
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        candidates = list(self.whole_pieces(off, seq, doc, hit, upto))
         for m, sizes, steps, tables in self.classes:
             starts = []
             for n in sizes:
@@ -160,7 +210,6 @@ class Items:
             starts = starts[starts >= 0]
             if not len(starts):
                 continue
-            doc_at = doc[starts]
             pairs = []
             for r in range(REPEATS):
                 keys, items = tables[r]
@@ -174,19 +223,25 @@ class Items:
             if not pairs:
                 continue
             some = np.unique(np.concatenate(pairs))
-            where, which = starts[some // len(self.words)], some % len(self.words)
-            # candidates of one document and item that overlap are verified together
-            order = np.lexsort((where, which, doc_at[some // len(self.words)]))
-            where, which = where[order], which[order]
-            group = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(where) > m) | (np.diff(doc[where]) != 0)]))
-            for a, b in zip(group, [*group[1:], len(where)], strict=True):
-                d, i = int(doc[where[a]]), int(which[a])
-                n = len(self.words[i])
-                k = int(EDITS * n)
-                lo, hi = max(int(off[d]), int(where[a]) - k), min(int(off[d + 1]), int(where[b - 1]) + n + k)
-                edits, begin, end = edit_distance(self.words[i], seq[lo:hi])
-                if edits <= k and ((d, i) not in found or (edits, lo + begin) < (found[d, i][2], found[d, i][0])):
-                    found[d, i] = (lo + begin, lo + end, edits)
+            where = starts[some // len(self.words)]
+            candidates.append((doc[where], some % len(self.words), where))
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not candidates:
+            return []
+        in_doc, which, where = (np.concatenate(x) for x in zip(*candidates, strict=True))
+        # candidates of one document and item that overlap are verified together
+        order = np.lexsort((where, which, in_doc))
+        in_doc, which, where = in_doc[order], which[order], where[order]
+        size = np.array([len(w) for w in self.words])
+        group = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(where) > size[which[1:]]) | (np.diff(in_doc) != 0)])) if len(where) else []
+        for a, b in zip(group, [*group[1:], len(where)], strict=True):
+            d, i = int(in_doc[a]), int(which[a])
+            n = len(self.words[i])
+            k = int(EDITS * n)
+            lo, hi = max(int(off[d]), int(where[a]) - k), min(int(off[d + 1]), int(where[b - 1]) + n + k)
+            edits, begin, end = edit_distance(self.words[i], seq[lo:hi])
+            if edits <= k and ((d, i) not in found or (edits, lo + begin) < (found[d, i][2], found[d, i][0])):
+                found[d, i] = (lo + begin, lo + end, edits)
         return [(d, i, b - int(off[d]), e - int(off[d]), n) for (d, i), (b, e, n) in sorted(found.items())]
 
 
