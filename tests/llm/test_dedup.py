@@ -146,6 +146,17 @@ def test_repeats_count_once_in_near_links(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(rows(spark, data)).collect()) == [1, 4, 5]
 
 
+def test_near_links_of_short_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    # four and five shingles, four of them in common: exactly 0.8; and six-word texts without a shingle in common
+    pairs = [[word() for _ in range(9)] for _ in range(400)]
+    data = [(2 * k + j, " ".join(w[: 8 + j])) for k, w in enumerate(pairs) for j in (0, 1)]
+    data += [(1000 + k, " ".join(word() for _ in range(6))) for k in range(400)]
+    kept = sorted(r.doc_id for r in simhash.keep_one(rows(spark, data)).collect())
+    assert kept == [*range(0, 800, 2), *range(1000, 1400)]
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

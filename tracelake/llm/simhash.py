@@ -245,26 +245,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 STAGE_WIDTH, STAGE_RADIUS, STAGE_FIRST = 5, 32, 20
 #: Distinct shingles and texts in a block of a group of candidates; two blocks meet in a task.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 4096
+#: Sets of so many shingles at most are compared as sets: bits of few shingles tell neither like nor unlike texts.
+SMALL = 20
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp, fp2, n (distinct shingles), same (a digest of the set of shingles) of docs (doc_id, text)."""
+def sketches(docs: DataFrame, width: int, ratio: float) -> DataFrame:
+    """doc_id, fp, fp2, n (distinct shingles), same (a digest of the set of shingles), prefix of docs (doc_id, text).
+
+    prefix: of a small set, the least shingles, so many that sets of a Jaccard similarity of ratio have one in common.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, data = string_parts(pc.fill_null(batch["text"], ""))
             view = memoryview(data)
             fp, n, same = np.zeros((len(off) - 1, 2), np.uint64), np.zeros(len(off) - 1, np.int64), []
+            prefix = []
             for i in range(len(off) - 1):
                 h = np.unique(shingle_hashes(bytes(view[off[i] : off[i + 1]]), width))
                 n[i] = len(h)
+                prefix.append(h[: len(h) - int(np.ceil(ratio * len(h) - 1e-9)) + 1].view(np.int64) if 0 < len(h) <= SMALL else [])
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 if len(h):
                     fp[i] = to_word(bit_sums(h), len(h)), to_word(bit_sums(mix64(h)), len(h))
             words = [pa.array(fp[:, k].copy().view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *words, pa.array(n), pa.array(same, pa.binary())], ["doc_id", "fp", "fp2", "n", "same"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *words, pa.array(n), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "fp", "fp2", "n", "same", "prefix"])
 
-    return docs.mapInArrow(mark, "doc_id long, fp long, fp2 long, n long, same binary")
+    return docs.mapInArrow(mark, "doc_id long, fp long, fp2 long, n long, same binary, prefix array<long>")
 
 
 def similar_forest(fp: np.ndarray, fp2: np.ndarray, off: np.ndarray, shingles: np.ndarray, side: np.ndarray | None, radius: int, ratio: float) -> np.ndarray:
@@ -276,13 +283,19 @@ def similar_forest(fp: np.ndarray, fp2: np.ndarray, off: np.ndarray, shingles: n
     size = np.diff(off)
     label = np.arange(len(size))
     order = np.argsort(size, kind="stable")
+    # each shingle in which two sets differ changes one bit of these at most
+    bits = np.zeros(len(size), np.uint64)
+    if len(shingles):
+        bits[size > 0] = np.bitwise_or.reduceat(np.uint64(1) << (shingles & np.uint64(63)), off[:-1][size > 0])
     last = np.searchsorted(size[order], np.floor(size[order] / ratio + 1e-9), "right")
     for at, i in enumerate(order.tolist()):
         j = order[at + 1 : last[at]]
         j = j[label[j] != label[i]]
         if side is not None:
             j = j[side[j] != side[i]]
-        j = j[np.bitwise_count(fp[j] ^ fp[i]).astype(np.int16) + np.bitwise_count(fp2[j] ^ fp2[i]) <= radius]
+        near = np.bitwise_count(fp[j] ^ fp[i]).astype(np.int16) + np.bitwise_count(fp2[j] ^ fp2[i]) <= radius
+        few = np.bitwise_count(bits[j] ^ bits[i]) <= (1 - ratio) / (1 + ratio) * (size[j] + size[i]) + 1e-9
+        j = j[np.where(size[j] <= SMALL, few, near)]
         if not len(j):
             continue
         own = shingles[off[i] : off[i + 1]]
@@ -338,16 +351,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs with one document of each group of near-duplicates: the one with the smallest id.
 
     Two texts are linked when their sets of shingles have a Jaccard similarity of `ratio` at least. Candidates are texts
-    whose 128-bit fingerprints differ in `radius` bits at most (in the first word: `first`); each link is verified on the
+    whose 128-bit fingerprints differ in `radius` bits at most (in the first word: `first`), and small sets that share one
+    of their least shingles, which all similar ones do (texts without a shingle are one set); each link is verified on the
     shingles themselves (as 64-bit hashes). Cells are ranges of the number of distinct shingles, and only equal and adjacent
     ones are compared: texts of a similarity of `ratio` are never further apart in size. Rows with a null id all stay.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    marked = written(sketches(narrow, width), "fingerprints")
+    marked = written(sketches(narrow, width, ratio), "fingerprints")
     cell = F.floor(F.log(F.greatest(F.col("r.n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / (ratio - 0.02)))).cast("long")
     # texts with the same set of shingles are one node
-    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "fp2", "n")).alias("r")).select("same", F.col("r.doc_id").alias("node"), "r.fp", "r.fp2", "r.n", cell.alias("cell")), "distinct")
-    near = components(_link(_deal(distinct.select("node", "fp", "fp2", "cell"), [0, 1]), first, radius))
+    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "fp2", "n", "prefix")).alias("r")).select("same", F.col("r.doc_id").alias("node"), "r.fp", "r.fp2", "r.n", "r.prefix", cell.alias("cell")), "distinct")
+    # what is similar to a set of SMALL * ratio shingles at most is small too
+    large = distinct.filter(F.col("n") > SMALL * ratio).select("node", "fp", "fp2", "cell")
+    tokens = distinct.select("node", F.explode("prefix").alias("token"))
+    least = tokens.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("token", "v")
+    small = tokens.join(least, "token").filter("node <> v").select(F.col("node").alias("u"), "v")
+    near = components(_link(_deal(large, [0, 1]), first, radius).unionByName(small))
     roots = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     edges = verified(narrow, written(distinct.join(roots, "node").select("node", "root", "fp", "fp2", "n"), "candidates"), width, radius, ratio)
     same = marked.select("doc_id", "same").join(distinct.select("same", "node"), "same").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
