@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one block of rows holds at about; a longer text is a block of its own.
@@ -117,6 +120,23 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
     release()
 
 
+#: Words of all blocks in a range of word hashes at about, and most ranges (a block has a row for each range of its words).
+RANGE_WORDS, RANGES = 1_000_000, 4096
+
+
+def ranges_for(blocks: DataFrame, count: str = "n_distinct") -> int:
+    """Ranges of word hashes for blocks whose column `count` says how many distinct words each has: no fewer than there
+    are shuffle partitions, and with more words more ranges, so that a task holds the words of one range at a time."""
+    words = blocks.agg(F.sum(count)).first()[0] or 0
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, -(-words // RANGE_WORDS)))
+
+
+def ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[dict]]:
+    """The rows of each range, one range after the other, of batches sorted by their column range. Each has to be used up."""
+    rows = ({name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)} for batch in batches for k in range(batch.num_rows))
+    return (own for _, own in groupby(rows, key=itemgetter("range")))
+
+
 def one_chunk(col: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(col, pa.ChunkedArray):
         return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bucketed, hash_strings, list_parts, one_chunk, pack, pack_strings, release, text_blocks, unpack, unpack_strings, written
+from tracelake.llm.common import bucketed, hash_strings, list_parts, one_chunk, pack, pack_strings, ranges_for, ranges_of, release, text_blocks, unpack, unpack_strings, written
 
 TOP, CLASSES = 192, 61
 #: Symbols: words, classes (the last one for endings that are no class of their own), start, end.
@@ -61,12 +61,13 @@ def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 "at": [pack(at.astype("<u4"))],
                 "words": [pack_strings(enc.dictionary)],
                 "counts": [pack(counts.astype("<u4"))],
+                "n_distinct": [len(enc.dictionary)],
                 "n_train": [int(train.sum() + (~held).sum())],
                 "train_docs": [int((~held).sum())],
             })
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.withColumn("held_out", F.coalesce(crc == 2, F.lit(False))).mapInArrow(cut, "block long, doc_ids binary, held binary, n_words binary, at binary, words binary, counts binary, n_train long, train_docs long")
+    return narrow.withColumn("held_out", F.coalesce(crc == 2, F.lit(False))).mapInArrow(cut, "block long, doc_ids binary, held binary, n_words binary, at binary, words binary, counts binary, n_distinct long, n_train long, train_docs long")
 
 
 def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -85,29 +86,41 @@ def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"range": [int(r)], "block": [block], "at": [pack(at.astype("<u4"))], "words": [pack_strings(words.take(pa.array(at)))], "counts": [pack(n[at])]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        parts: list[tuple[int, bytes, np.ndarray]] = []
-        totals = np.zeros(1024, np.int64)
-        for batch in batches:
-            for block, at, packed, counts in zip(*(batch[c].to_pylist() for c in ("block", "at", "words", "counts")), strict=True):
-                where = np.fromiter((place.setdefault(w, len(place)) for w in unpack_strings(packed).to_pylist()), np.int64)
+        for rows in ranges_of(batches):
+            place: dict[str, int] = {}
+            parts: list[tuple[int, bytes, np.ndarray]] = []
+            totals = np.zeros(1024, np.int64)
+            for row in rows:
+                where = np.fromiter((place.setdefault(w, len(place)) for w in unpack_strings(row["words"]).to_pylist()), np.int64)
                 if len(place) > len(totals):
                     totals = np.concatenate([totals, np.zeros(max(len(totals), len(place)), np.int64)])
-                totals[where] += unpack(counts, "<u4")  # a block's words are distinct
-                parts.append((block, at, where.astype(np.uint32)))
-        totals = totals[: len(place)]
-        for block, at, where in parts:
-            yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "totals": [pack(totals[where].astype("<u4"))], "n": [0], "v": [0], "top": [None], "top_n": [None], "ends": [None], "ends_n": [None], "ends_v": [None]}, schema=COUNTED)
-        if len(place):
-            words = pa.array(list(place), pa.string())
-            seen = pa.array(totals > 0)
-            best = np.lexsort((np.arange(len(totals)), -totals))[: TOP + 64]
-            last = pc.utf8_slice_codeunits(words.filter(seen), -2)
-            by_end = pa.table({"e": last, "c": pa.array(totals).filter(seen)}).group_by("e").aggregate([("c", "sum"), ("c", "count")])
-            yield pa.RecordBatch.from_pydict({"block": [None], "at": [None], "totals": [None], "n": [int(totals.sum())], "v": [int((totals > 0).sum())], "top": [words.take(pa.array(best)).to_pylist()], "top_n": [totals[best].tolist()], "ends": [by_end["e"].to_pylist()], "ends_n": [by_end["c_sum"].to_pylist()], "ends_v": [by_end["c_count"].to_pylist()]}, schema=COUNTED)
+                totals[where] += unpack(row["counts"], "<u4")  # a block's words are distinct
+                parts.append((row["block"], row["at"], where.astype(np.uint32)))
+            totals = totals[: len(place)]
+            for block, at, where in parts:
+                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "totals": [pack(totals[where].astype("<u8"))], "n": [0], "v": [0], "top": [None], "top_n": [None], "ends": [None], "ends_n": [None], "ends_v": [None]}, schema=COUNTED)
+            if len(place):
+                yield sums_of(pa.array(list(place), pa.string()), totals)
+            del place, parts, totals
+            release()
 
     dealt = blocks.select("block", "words", "counts").mapInArrow(deal, "range long, block long, at binary, words binary, counts binary")
-    return dealt.repartition(ranges, "range").mapInArrow(add, "block long, at binary, totals binary, n long, v long, top array<string>, top_n array<long>, ends array<string>, ends_n array<long>, ends_v array<long>")
+    # a task takes its ranges one after the other
+    sorted_ = dealt.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range")
+    return sorted_.mapInArrow(add, "block long, at binary, totals binary, n long, v long, top array<string>, top_n array<long>, ends array<string>, ends_n array<long>, ends_v array<long>")
+
+
+def sums_of(words: pa.Array, totals: np.ndarray) -> pa.RecordBatch:
+    """A range's row without a block: sum and number of its words, the most frequent ones, sums by ending."""
+    seen = pa.array(totals > 0)
+    most = min(TOP, len(totals))
+    # by count, then by the word's bytes, as the choice over all ranges is made: no tie depends on arrival
+    often = np.flatnonzero(totals >= np.partition(totals, -most)[-most])
+    often = often[np.asarray(pc.sort_indices(words.take(pa.array(often)).cast(pa.binary())))]
+    best = often[np.argsort(-totals[often], kind="stable")][:TOP]
+    last = pc.utf8_slice_codeunits(words.filter(seen), -2)
+    by_end = pa.table({"e": last, "c": pa.array(totals).filter(seen)}).group_by("e").aggregate([("c", "sum"), ("c", "count")])
+    return pa.RecordBatch.from_pydict({"block": [None], "at": [None], "totals": [None], "n": [int(totals.sum())], "v": [int((totals > 0).sum())], "top": [words.take(pa.array(best)).to_pylist()], "top_n": [totals[best].tolist()], "ends": [by_end["e"].to_pylist()], "ends_n": [by_end["c_sum"].to_pylist()], "ends_v": [by_end["c_count"].to_pylist()]}, schema=COUNTED)
 
 
 COUNTED = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("totals", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("top", pa.list_(pa.string())), ("top_n", pa.list_(pa.int64())), ("ends", pa.list_(pa.string())), ("ends_n", pa.list_(pa.int64())), ("ends_v", pa.list_(pa.int64()))])
@@ -240,9 +253,8 @@ def log_probabilities(model: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = bucketed(blocks_of(docs, id_col, text_col), "lm_blocks", "block", ranges)
-    counted = written(count_words(blocks, ranges), "lm_counts")
+    blocks = bucketed(blocks_of(docs, id_col, text_col), "lm_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = written(count_words(blocks, ranges_for(blocks)), "lm_counts")
     ends_total = blocks.agg(F.sum("n_train").alias("n"), F.sum("train_docs").alias("docs")).first()
     n_all, n_end = int(ends_total.n or 0), int(ends_total.docs or 0)
     sums = counted.filter("block IS NULL")
@@ -271,7 +283,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             symbols = symbols_of(words, top, ends)
             count = np.zeros(len(words) + 1, np.int64)
             for p in row["parts"] or []:
-                count[unpack(p["at"], "<u4")] = unpack(p["totals"], "<u4")
+                count[unpack(p["at"], "<u4")] = unpack(p["totals"], "<u8")
             count[-1] = n_end  # word -1 is the end
             word, w, a, b, last, held = sequences(row, symbols)
             c = count[word]
