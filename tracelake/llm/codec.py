@@ -28,6 +28,19 @@ _LOWER_WORDS = re.compile(f"'(?:[sdmt]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+
 _INNER_SPACE = r"[\t-\r \x{a0}] (?:[\t-\r \x{a0}]|\z)"
 
 
+#: Fixed value: how files must be made for _LOWER_WORDS to split as they do. Other files go through the library as a whole.
+LOWER = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -49,11 +62,13 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
-        pre = spec["pre_tokenizer"] or {}
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         self.kind = "other"
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["normalizer"] is None:
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        plain = plain and spec["post_processor"] is None and not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+        if plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["normalizer"] is None:
             self.kind = "byte"
-        elif pre.get("type") == "Sequence" and [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        elif plain and spec["normalizer"] == LOWER["normalizer"] and pre == LOWER["pre_tokenizer"]:
             self.kind = "lower"
         self._table = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self._memo: dict[str, bytes] = {}
@@ -61,7 +76,9 @@ class Codec:
         self._limit = memo
 
     def word_ids(self, word: str) -> list[int]:
-        """Ids of one word as the pre-tokenizer gives it, or of a special token."""
+        """Ids of one word as the pre-tokenizer gives it, or of a special token; of a whole text for files of another kind."""
+        if self.kind == "other":
+            return self.tok.encode(word, add_special_tokens=False).ids
         if word in self.special:
             return [self.special[word]]
         return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self._table))]
@@ -82,6 +99,8 @@ class Codec:
         """Words of any text; special tokens are words of their own."""
         if not text:
             return []
+        if self.kind == "other":
+            return [text]
         out: list[str] = []
         parts = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text) if self.special else [text]
         for part in parts:
@@ -100,11 +119,13 @@ class Codec:
         whose words are split(name); names are unique among those.
         """
         n = len(texts)
+        if self.kind == "other":
+            enc = texts.dictionary_encode()
+            names = enc.dictionary.to_pylist()
+            return np.arange(n + 1), np.asarray(enc.indices).astype(np.int32), names, [self.split_any(name) for name in names]
         odd = pc.match_substring_regex(texts, f"[^{_COMMON}]")
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
-        if self.kind == "other":
-            odd = pa.array(np.ones(n, bool))
         odd = np.asarray(odd)
         cut = np.asarray(pc.match_substring_regex(texts, _INNER_SPACE)) if self.kind == "byte" else np.zeros(n, bool)
         quick = ~odd & ~cut

@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.codec import Codec, byte_letters, codec
-from tracelake.llm.common import bucketed, hash_strings, one_chunk, pack, pack_strings, ragged, release, text_blocks, unpack, unpack_strings
+from tracelake.llm.common import bucketed, hash_strings, one_chunk, pack, pack_strings, ragged, ranges_for, ranges_of, release, text_blocks, unpack, unpack_strings
 
-BLOCKS = "block long, doc_ids binary, n_units binary, units binary, unit_sizes binary, unit_words binary, words binary"
+#: Words that a task's table holds at most.
+TABLE_WORDS = 1_000_000
+BLOCKS = "block long, doc_ids binary, n_units binary, units binary, unit_sizes binary, unit_words binary, words binary, n_distinct long"
 
 
 def word_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,6 +55,7 @@ def word_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 "unit_sizes": [pack(sizes.astype("<u4"))],
                 "unit_words": [pack(np.array(flat, "<u4"))],
                 "words": [pack_strings(pa.array(list(place), pa.string()))],
+                "n_distinct": [len(place)],
             }
             yield pa.RecordBatch.from_pydict(row)
 
@@ -77,26 +80,32 @@ def deal_words(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.select("block", "words").mapInArrow(deal, "range long, block long, at binary, words binary")
 
 
-def encode_words(dealt: DataFrame, tokenizer: str, ranges: int) -> DataFrame:
-    """The distinct-word table at work: a word is encoded where its hash is dealt to, once; each block gets its ids."""
+def encode_words(dealt: DataFrame, tokenizer: str) -> DataFrame:
+    """The distinct-word table at work: a word is encoded where its hash is dealt to, once; each block gets its ids.
+
+    Past TABLE_WORDS distinct words of one range the table is begun anew, and words that come again are encoded again."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
-        table: dict[str, bytes] = {}
-        for batch in batches:
-            for block, at, packed in zip(batch["block"].to_pylist(), batch["at"].to_pylist(), batch["words"].to_pylist(), strict=True):
+        for rows in ranges_of(batches):
+            table: dict[str, bytes] = {}
+            for row in rows:
                 got = []
-                for w in unpack_strings(packed).to_pylist():
+                for w in unpack_strings(row["words"]).to_pylist():
                     ids = table.get(w)
                     if ids is None:
+                        if len(table) >= TABLE_WORDS:
+                            table.clear()
                         ids = table[w] = np.array(code.word_ids(w), code.dtype).tobytes()
                     got.append(ids)
                 size = np.fromiter(map(len, got), np.int64, len(got)) // code.dtype.itemsize
-                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at], "sizes": [pack(size.astype("<u4"))], "ids": [pack(np.frombuffer(b"".join(got), code.dtype))]})
-        del table
-        release()
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "at": [row["at"]], "sizes": [pack(size.astype("<u4"))], "ids": [pack(np.frombuffer(b"".join(got), code.dtype))]})
+            del table
+            release()
 
-    return dealt.repartition(ranges, "range").mapInArrow(encode, "block long, at binary, sizes binary, ids binary")
+    # a task takes its ranges one after the other
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "range").sortWithinPartitions("range").mapInArrow(encode, "block long, at binary, sizes binary, ids binary")
 
 
 def _placed(row: dict, parts: list[dict], code: Codec) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -126,11 +135,10 @@ def _placed(row: dict, parts: list[dict], code: Codec) -> tuple[pa.Array, np.nda
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks with all that _placed() needs, one row a block: the word table's ids joined back."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = bucketed(word_blocks(docs, tokenizer, id_col, text_col), "word_blocks", "block", ranges)
-    ids = encode_words(deal_words(blocks, ranges), tokenizer, ranges)
+    blocks = bucketed(word_blocks(docs, tokenizer, id_col, text_col), "word_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = encode_words(deal_words(blocks, ranges_for(blocks)), tokenizer)
     parts = ids.groupBy("block").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("parts"))
-    return blocks.drop("words").join(parts, "block", "left")
+    return blocks.drop("words", "n_distinct").join(parts, "block", "left")
 
 
 def pieces(code: Codec) -> pa.Array:
@@ -144,6 +152,15 @@ def pieces(code: Codec) -> pa.Array:
     return pa.array(out, pa.large_binary())
 
 
+def decode_all(ids: np.ndarray, bounds: np.ndarray, code: Codec) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and ends, and the bytes of all texts: through the pieces if ids stand for bytes, else the library."""
+    if code.kind == "byte":
+        off, data = joined(ids, tables_of(code)[0])
+        return off[bounds], data
+    texts = [code.tok.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]), np.frombuffer(b"".join(texts), np.uint8)
+
+
 def joined(ids: np.ndarray, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Join ids with a table by id: where each id's bytes begin and end, and all the bytes in one array."""
     got = table.take(pa.array(ids.astype(np.int32)))
@@ -151,15 +168,15 @@ def joined(ids: np.ndarray, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(got.buffers()[2] or b"", np.uint8)
 
 
-_TABLES: dict[str, tuple[pa.Array, pa.Array]] = {}
+_TABLES: dict[int, tuple[pa.Array, pa.Array]] = {}
 
 
-def tables(tokenizer: str) -> tuple[pa.Array, pa.Array]:
+def tables_of(code: Codec) -> tuple[pa.Array, pa.Array]:
     """Pieces by id, and decimal digits with a comma by id."""
-    if tokenizer not in _TABLES:
-        p = pieces(codec(tokenizer))
-        _TABLES[tokenizer] = p, pa.array([b"%d," % i for i in range(len(p))], pa.large_binary())
-    return _TABLES[tokenizer]
+    if id(code) not in _TABLES:
+        p = pieces(code)
+        _TABLES[id(code)] = p, pa.array([b"%d," % i for i in range(len(p))], pa.large_binary())
+    return _TABLES[id(code)]
 
 
 def _documents(batches: Iterator[pa.RecordBatch], code: Codec) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -189,13 +206,11 @@ def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, text: ids (array of int) decoded, special tokens included."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tables(tokenizer)[0]
+        code = codec(tokenizer)
         for batch in batches:
             lists = batch["ids"]
             off = np.asarray(lists.offsets, np.int64)
-            off = off - off[0]
-            ends, data = joined(np.asarray(lists.flatten()), table)
-            cut = ends[off]
+            cut, data = decode_all(np.asarray(lists.flatten()), off - off[0], code)
             texts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -206,8 +221,9 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, decoded again through the pieces, and hashed."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, digits = tables(tokenizer)
-        for doc_ids, n, ids in _documents(batches, codec(tokenizer)):
+        code = codec(tokenizer)
+        digits = tables_of(code)[1]
+        for doc_ids, n, ids in _documents(batches, code):
             ends = np.cumsum(n)
             shas: list[list[str]] = [[], []]
             # as many documents at a time as have about a million ids
@@ -216,10 +232,9 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 first = int(ends[at] - n[at])
                 to = max(at + 1, int(np.searchsorted(ends, first + (1 << 20), side="right")))
                 part, bounds = ids[first : int(ends[to - 1])], np.concatenate([[0], ends[at:to] - first])
-                for k, by in ((0, digits), (1, table)):
-                    off, data = joined(part, by)
-                    cut = off[bounds].tolist()
-                    view = memoryview(data)
+                off, data = joined(part, digits)
+                for k, (cut, data) in enumerate(((off[bounds], data), decode_all(part, bounds, code))):
+                    view, cut = memoryview(data), cut.tolist()
                     # the digits of a document end with a comma too many
                     shas[k] += [hashlib.sha256(view[a : b - (k == 0 and b > a)]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 at = to
