@@ -1,28 +1,28 @@
 """Benchmark decontamination: CGK random-walk embedding, repeated bit-sampling LSH over item-sized windows, and exact
 edit verification.
 
-Symbols are words: lower-cased, without what is neither letter nor digit (words without either vanish). A document is
-contaminated by an item of n words if one of its windows is within floor(EDITS * n) word edits (insertions, deletions,
-substitutions) of the item.
+Symbols are words: lower-cased, without what is neither letter nor digit (words without either vanish). Letters of
+scripts without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) are words of their own. A document is contaminated by an
+item of n words if one of its windows is within floor(EDITS * n) word edits (insertions, deletions, substitutions) of it.
 
 1. q-gram lemma: such a window keeps at least n - 1 - 2k of the item's word pairs within n + k words. Windows that hold
    fewer word pairs of the whole benchmark can't match and are left out; this loses nothing.
-2. CGK: a walk of 3n steps over a window of n words writes, at each step, the word it stands on, and moves on or stays
-   by a random bit of the word and step. Few edits give few differing steps, so edit distance becomes Hamming distance.
-   Bit sampling: REPEATS independent walks, each sampled at SAMPLES steps, give keys; a window that shares a key with an
-   item is a candidate. An item's own text shares all keys; with edits, each walk shares one with a probability of
-   about (1 - d)^SAMPLES for a share d of differing steps, over all windows around the passage. That share grows with
-   an item's length, so walks alone lose edited copies of long items.
-3. Pigeonhole: k edits leave one of k + 1 pieces of an item as it is. The pieces (two to four words) are looked up
-   exactly, and where one stands the item is a candidate, so no match of any length is left to chance.
+2. CGK: a walk over a window of n words writes, at each step, the word it stands on, and moves on or stays by a random
+   bit of the word and step. Few edits give few differing steps, so edit distance becomes Hamming distance. Bit sampling:
+   each walk is sampled at SAMPLES steps, which gives a key; a window of n words that shares a key with an item of n words
+   is a candidate. Windows have the sizes of the items. The number of walks is derived for each band of sizes from RECALL:
+   walks_for() measures, at the limit of edits, how many walks find a share RECALL of the items, up to WALKS.
+3. Pigeonhole: k edits leave one of k + 1 pieces of an item as it is. The pieces are looked up exactly, and where one
+   stands the item is a candidate, so no match of any length is left to chance. Items of fewer than five words allow no
+   edit: their one piece is the item.
 4. Each candidate is verified by exact edit distance, so there are no false matches.
 
 The benchmark is a table of its own; it is taken in parts of at most PART_WORDS words, each with a bounded size, and the
 documents are passed once for each part.
 
-Defined results: a null or empty text has no match; an item with fewer than MIN_WORDS words is too short to tell from
-chance and is not searched for; null ids are carried as they are; repeated rows each give their rows; empty tables give
-no row; other columns pass through clean() whatever their names.
+Defined results: a null or empty text has no match; an item without a word is found nowhere; null ids are carried as they
+are; repeated rows each give their rows; empty tables give no row; very long texts are searched whole; other columns pass
+through clean() whatever their names, and matches() ignores them.
 """
 
 from __future__ import annotations
@@ -30,33 +30,45 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracelake.llm.common import hash_strings, list_parts, mix64, one_chunk, plus, ragged, text_blocks
+from tracelake.llm.common import hash_strings, list_parts, mix64, one_chunk, ragged, string_parts, text_blocks
 
-#: Share of an item's words that may be edited; least words of an item; walks; sampled steps of a walk.
-EDITS, MIN_WORDS, REPEATS, SAMPLES = 0.2, 5, 24, 3
-#: Items whose numbers of words are within this factor share windows.
-WIDEN = 1.25
+#: Share of an item's words that may be edited; share of copies at that limit that the walks find; sampled steps of a walk.
+EDITS, RECALL, SAMPLES = 0.2, 0.95, 3
+#: Items whose numbers of words are within this factor share walks, from this number of words on (fewer allow no edit).
+WIDEN, WALKED = 1.25, 5
+#: Most walks of a band, enough up to about 200 words; longer items than MEASURED words take as many. Pieces find the rest.
+WALKS, MEASURED = 96, 400
+#: Beginnings of windows that walk together.
+STARTS = 1 << 18
 #: Words of the benchmark in one pass; bits of the table of word pairs.
 PART_WORDS, PAIR_BITS = 4_000_000, 28
 #: Places of pieces that are looked at together.
 PLACES = 1 << 20
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+_OTHER = re.compile(r"[\W_]+")
 
 
 def plain(word: str) -> str:
-    return re.sub(r"[\W_]+", "", word.lower())
+    low = word.lower()
+    return low if low.isalnum() else _OTHER.sub("", low)
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets by text and a 64-bit code for each of its words, those without letter or digit left out."""
+    # these scripts are at U+0E00 and beyond, whose bytes begin with 0xE0 at least
+    if len(texts) and (string_parts(texts)[1] >= 0xE0).any():
+        texts = pc.replace_substring_regex(texts, _UNSPACED, r" \1 ")
     off, flat = list_parts(pc.ascii_split_whitespace(texts))
     enc = flat.dictionary_encode()
     words = pa.array([plain(w) for w in enc.dictionary.to_numpy(zero_copy_only=False)], pa.string())
@@ -80,28 +92,67 @@ def run_codes(seq: np.ndarray, at: np.ndarray, g: int) -> np.ndarray:
     return code
 
 
-def walk(seq: np.ndarray, starts: np.ndarray, n: int, repeat: int, samples: np.ndarray) -> np.ndarray:
-    """Keys of windows of n words: the walk's words at the sampled steps, hashed. Past the window it writes zeros."""
-    at = starts.astype(np.int64).copy()
-    stop = at + n
-    key = np.full(len(at), np.uint64(n * REPEATS + repeat))
-    last = int(samples.max())
-    wanted = set(samples.tolist())
-    for step in range(last + 1):
-        inside = at < stop
-        word = np.where(inside, seq[np.minimum(at, len(seq) - 1)], np.uint64(0))
-        if step in wanted:
-            key = mix64(key * _PAIR + word)
-        salt = np.uint64(((repeat << 20) + step + 1) * int(_PAIR) & (1 << 64) - 1)
-        at += (mix64(word + salt) & np.uint64(1)).astype(np.int64)
+def walk(seq: np.ndarray, starts: np.ndarray, repeat: int, steps: np.ndarray) -> np.ndarray:
+    """Where a walk from each start stands at each of the steps (in order); what bounds its window doesn't change it."""
+    at = starts.astype(np.int64)
+    out = np.empty((len(steps), len(at)), np.int64)
+    row, end = 0, len(seq) - 1
+    for step in range(int(steps[-1]) + 1):
+        if step == steps[row]:
+            out[row] = at
+            row += 1
+        # a random bit of word and step: the highest one of a product with an odd factor
+        factor = mix64(np.array([(repeat << 20) + step + 1], np.uint64))[0] | np.uint64(1)
+        at = at + ((seq[np.minimum(at, end)] * factor) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def keys_of(seq: np.ndarray, starts: np.ndarray, n: int, repeat: int, at: np.ndarray) -> np.ndarray:
+    """Keys of windows of n words from where their walk stands at the sampled steps. Past the window it writes zeros."""
+    key = np.full(len(starts), np.uint64((n << 12) + repeat))
+    for place in at:
+        key = mix64(key * _PAIR + np.where(place < starts + n, seq[np.minimum(place, len(seq) - 1)], np.uint64(0)))
     return key
 
 
-def sampled_steps(n: int) -> list[np.ndarray]:
-    """For windows of n words: the sampled steps of each walk, among the 3n; drawn once for all."""
+@cache
+def sampled_steps(n: int, repeat: int) -> np.ndarray:
+    """The sampled steps of a walk over n words; drawn once for all. Walks have left the window after about 2n steps."""
+    rng = np.random.default_rng((n, repeat))
+    return np.sort(rng.choice(max(SAMPLES, 2 * n - n // 4), SAMPLES, replace=False))
+
+
+@cache
+def walks_for(n: int) -> int:
+    """So many walks that they find a share RECALL of items of n words in texts that hold them with floor(EDITS * n) random
+    edits, over all windows around them: measured on random words; WALKS at most."""
+    if n > MEASURED:
+        return WALKS
     rng = np.random.default_rng(n)
-    # a walk has left the window after about 2n steps; later ones tell nothing
-    return [np.sort(rng.choice(max(SAMPLES, 2 * n - n // 4), SAMPLES, replace=False)) for _ in range(REPEATS)]
+    k = int(EDITS * n)
+    trials = max(60, min(200, 20_000 // (4 * k + 1)))
+    items, texts = [], []
+    for _ in range(trials):
+        item = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        words = item.tolist()
+        for kind in rng.integers(0, 3, k):
+            place = int(rng.integers(0, len(words)))
+            # 0 replaces, 1 inserts, 2 deletes
+            words[place : place + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 63))]
+        around = rng.integers(1, 1 << 63, (2, 2 * k)).astype(np.uint64)
+        items.append(item)
+        texts.append(np.concatenate([around[0], np.array(words, np.uint64), around[1], rng.integers(1, 1 << 63, 2 * n).astype(np.uint64)]))
+    begins = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+    item_seq, text_seq = np.concatenate(items), np.concatenate(texts)
+    left = np.arange(trials)
+    for r in range(WALKS):
+        steps, own, starts = sampled_steps(n, r), left * n, (begins[left, None] + np.arange(4 * k + 1)).reshape(-1)
+        want = keys_of(item_seq, own, n, r, walk(item_seq, own, r, steps))
+        got = keys_of(text_seq, starts, n, r, walk(text_seq, starts, r, steps)).reshape(len(left), -1)
+        left = left[~(got == want[:, None]).any(axis=1)]
+        if len(left) <= (1 - RECALL) * trials:
+            return r + 1
+    return WALKS
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -128,28 +179,29 @@ class Items:
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         off, seq = word_codes(pa.array([t or "" for t in texts], pa.string()))
         words = [seq[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-        kept = [(i, w) for i, w in zip(ids, words, strict=True) if len(w) >= MIN_WORDS]
+        kept = [(i, w) for i, w in zip(ids, words, strict=True) if len(w)]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
         self.bits = min(PAIR_BITS, max(16, int(np.ceil(np.log2(64 * max(1, sum(map(len, self.words))))))))
         self.pairs = np.zeros(1 << self.bits, bool)
         for w in self.words:
             self.pairs[(pair_codes(w) >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        #: classes of similar numbers of words: window, numbers of words, sampled steps, and for each walk sorted keys
-        #: with their items; a class's window has the words of its shortest item
-        self.classes: list[tuple[int, list[int], list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]] = []
-        sizes = sorted({len(w) for w in self.words})
+        #: bands of similar numbers of words: number of walks, and for each number of words its keys with their items, walk by walk
+        self.bands: list[tuple[int, dict[int, list[tuple[np.ndarray, np.ndarray]]]]] = []
+        size = np.array([len(w) for w in self.words], np.int64)
+        sizes = np.unique(size[size >= WALKED]).tolist()
         while sizes:
-            m = sizes[0]
-            mine = [n for n in sizes if n <= WIDEN * m]
+            mine = [n for n in sizes if n <= WIDEN * sizes[0]]
             sizes = sizes[len(mine) :]
-            which = np.array([k for k, w in enumerate(self.words) if m <= len(w) <= mine[-1]])
-            joined = np.concatenate([self.words[k][:m] for k in which])
-            steps, tables = sampled_steps(m), []
-            for r in range(REPEATS):
-                keys = walk(joined, np.arange(len(which)) * m, m, r, steps[r])
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], which[order]))
-            self.classes.append((m, mine, steps, tables))
+            walks, tables = walks_for(mine[-1]), {}
+            for n in mine:
+                which = np.flatnonzero(size == n)
+                joined, own = np.concatenate([self.words[k] for k in which]), np.arange(len(which)) * n
+                tables[n] = []
+                for r in range(walks):
+                    keys = keys_of(joined, own, n, r, walk(joined, own, r, sampled_steps(n, r)))
+                    order = np.argsort(keys, kind="stable")
+                    tables[n].append((keys[order], which[order]))
+            self.bands.append((walks, tables))
         #: by words of a piece: sorted codes of pieces with their items and places in them
         self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -163,7 +215,7 @@ class Items:
             order = np.argsort(code, kind="stable")
             self.pieces[g] = code[order], item[order], at[order]
 
-    def whole_pieces(self, off: np.ndarray, seq: np.ndarray, doc: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def whole_pieces(self, off: np.ndarray, seq: np.ndarray, doc: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Documents, items and supposed beginnings (maybe before the document) where a piece of an item stands."""
         n = np.array([len(w) for w in self.words])
         k = (EDITS * n).astype(np.int64)
@@ -188,43 +240,48 @@ class Items:
                 some = upto[last] - upto[first] >= n[item] - 1 - 2 * k[item]
                 yield d[some], item[some], begin[some]
 
+    def windows(self, seq: np.ndarray, at: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Beginnings of windows and items that share a key with them."""
+        last = len(upto) - 1
+        for walks, tables in self.bands:
+            starts = {}
+            for n in tables:
+                k = int(EDITS * n)
+                first = at[upto[np.minimum(at + n + k, last)] - upto[at] >= n - 1 - 2 * k]
+                # windows begin where the first pair that is left stands, or up to 2k words before
+                mine = np.unique((first[:, None] - np.arange(2 * k + 1)).reshape(-1))
+                starts[n] = mine[mine >= 0]
+            union = np.unique(np.concatenate(list(starts.values())))
+            for low in range(0, len(union), STARTS):
+                part = union[low : low + STARTS]
+                inside = {n: np.searchsorted(part, mine[(mine >= part[0]) & (mine <= part[-1])]) for n, mine in starts.items()}
+                inside = {n: w for n, w in inside.items() if len(w)}
+                for r in range(walks):
+                    steps = np.unique(np.concatenate([sampled_steps(n, r) for n in inside]))
+                    stands = walk(seq, part, r, steps)
+                    for n, w in inside.items():
+                        keys, items = tables[n][r]
+                        got = keys_of(seq, part[w], n, r, stands[np.searchsorted(steps, sampled_steps(n, r))][:, w])
+                        lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                        hits = np.flatnonzero(hi > lo)
+                        if len(hits):
+                            lens = hi[hits] - lo[hits]
+                            yield np.repeat(part[w[hits]], lens), items[ragged(lo[hits], lens)]
+
     def search(self, off: np.ndarray, seq: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, begin, end, edits) for each document and item that match: the fewest edits, then the first."""
-        if len(seq) < 2 or not self.words:
+        if not len(seq) or not self.words:
             return []
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
         hit = self.pairs[(pair_codes(seq) >> np.uint64(64 - self.bits)).astype(np.int64)] & (doc[:-1] == doc[1:])
         upto = np.concatenate([[0], np.cumsum(hit)])
         at = np.flatnonzero(hit)
-        if not len(at):
-            return []
-        candidates = list(self.whole_pieces(off, seq, doc, hit, upto))
-        for m, sizes, steps, tables in self.classes:
-            starts = []
-            for n in sizes:
-                k = int(EDITS * n)
-                first = at[upto[np.minimum(at + n + k, len(hit))] - upto[at] >= n - 1 - 2 * k]
-                # windows begin where the first pair that is left stands, or up to 2k words before
-                starts.append(np.unique((first[:, None] - np.arange(2 * k + 1)).reshape(-1)))
-            starts = np.unique(np.concatenate(starts))
-            starts = starts[starts >= 0]
-            if not len(starts):
-                continue
-            pairs = []
-            for r in range(REPEATS):
-                keys, items = tables[r]
-                got = walk(seq, starts, m, r, steps[r])
-                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                w = np.flatnonzero(hi > lo)
-                if len(w):
-                    lens = hi[w] - lo[w]
-                    flat = np.repeat(lo[w] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-                    pairs.append(np.repeat(w, lens) * len(self.words) + items[flat])
-            if not pairs:
-                continue
-            some = np.unique(np.concatenate(pairs))
-            where = starts[some // len(self.words)]
-            candidates.append((doc[where], some % len(self.words), where))
+        candidates = list(self.whole_pieces(off, seq, doc, upto))
+        if len(at):
+            pairs = [np.stack(x, axis=1) for x in self.windows(seq, at, upto)]
+            if pairs:
+                where, which = np.unique(np.concatenate(pairs), axis=0).T
+                candidates.append((doc[where], which, where))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         if not candidates:
             return []
@@ -245,18 +302,19 @@ class Items:
         return [(d, i, b - int(off[d]), e - int(off[d]), n) for (d, i), (b, e, n) in sorted(found.items())]
 
 
-def parts_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[list, list]]:
-    """The benchmark in parts of at most PART_WORDS words (one item at least)."""
-    parts, ids, texts, size = [], [], [], 0
+def parts_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list, list]]:
+    """The benchmark in parts of at most PART_WORDS words (one item at least), one at a time."""
+    ids, texts, size = [], [], 0
     for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         n = len((r.t or "").split())
         if ids and size + n > PART_WORDS:
-            parts.append((ids, texts))
+            yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r.i)
         texts.append(r.t)
         size += n
-    return [*parts, (ids, texts)] if ids else parts
+    if ids:
+        yield ids, texts
 
 
 _ITEMS: dict[str, Items] = {}
@@ -297,26 +355,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs without a match, with their columns; nothing shuffles."""
+    where = docs.columns.index(text_col)
     for ids, texts in parts_of(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts, uuid.uuid4().hex))
-        names = docs.columns
-        where = names.index(text_col)
-        flagged = plus(docs.schema, __found=T.BooleanType())
 
-        def find(batches: Iterator[pa.RecordBatch], sent=sent, names=names, where=where) -> Iterator[pa.RecordBatch]:
-            items = None
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                items = items or _items(sent)
-                found = np.zeros(batch.num_rows, bool)
-                at = 0
+                items, found, at = _items(sent), np.zeros(batch.num_rows, bool), 0
                 only = pa.RecordBatch.from_arrays([batch.column(where)], ["text"])
                 for block in text_blocks(iter([only])):
                     for d, *_ in items.search(*word_codes(one_chunk(block["text"]))):
                         found[at + d] = True
                     at += block.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "__found"])
+                yield batch.filter(pa.array(~found))
 
-        docs = docs.mapInArrow(find, flagged).filter("NOT __found").drop("__found")
+        docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 
