@@ -10,6 +10,9 @@ Zstandard frame), each further frame is decoded as one record, and version, head
 and the record's end are checked. A record that fails has an error and no payload; a file that breaks off gives what
 comes before the break, and an error.
 
+A record's id names the page and its payload's digest, so that rows with one page_id and different payloads have records
+of different ids; rows that repeat whole have one id.
+
 Defined results: a null html is an empty payload; a null url becomes urn:x-page:<page_id>; a null page_id is written as
 null and read back so, and counts as larger than all others; rows that repeat the
 response's page_id and payload are responses too; payloads under `least` bytes are all responses; an empty table gives no file;
@@ -54,16 +57,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     name = "null" if page_id is None else page_id
+    digest = digest32(payload)
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:x-page:{name}>"),
+        ("WARC-Record-ID", f"<urn:x-page:{name}:{digest}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", _header_value(url if url is not None else f"urn:x-page:{name}")),
-        ("WARC-Payload-Digest", "sha1:" + digest32(payload)),
+        ("WARC-Payload-Digest", "sha1:" + digest),
         ("WARC-Block-Digest", "sha1:" + digest32(block)),
     ]
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{'null' if refers_to is None else refers_to}>")]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{'null' if refers_to is None else refers_to}:{digest}>")]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -145,7 +149,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise Broken("the header has no end")
-    lines = raw[:end].split(b"\r\n")
+    # a line that begins with white space goes on with the one before it
+    lines = re.sub(rb"\r\n[ \t]+", b" ", raw[:end]).split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
         raise Broken("not a WARC record")
     head: dict[str, str] = {}
@@ -171,7 +176,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def parse_page(raw: bytes) -> dict:
     """Columns of one record that write_pages() wrote; raises Broken."""
     head, block = parse(raw)
-    number = lambda urn: None if urn == "<urn:x-page:null>" else int(urn[len("<urn:x-page:") : -1])
+
+    def number(urn: str) -> int | None:
+        found = re.fullmatch(r"<urn:x-page:(null|-?\d+):[A-Z2-7]{32}>", urn)
+        if not found:
+            raise Broken("the id is no page's")
+        return None if found[1] == "null" else int(found[1])
+
     http, _, body = block.partition(b"\r\n\r\n")
     found = re.search(rb"(?im)^content-length: *(\d+)\r?$", http)
     if not found:
