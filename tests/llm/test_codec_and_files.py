@@ -1,6 +1,7 @@
 """Encoding, id files, token counts and the word table against the tokenizers library."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracelake.llm import token_counts, token_ids, word_table
+from tracelake.llm import common, token_counts, token_ids, word_table
 from tracelake.llm.codec import Codec
 
 TEXTS = [
@@ -104,3 +105,45 @@ def test_token_counts(spark):
         assert sums.agg(token_counts.cut_total(limit).alias("v")).first().v == np.minimum(lens, limit).sum()
     assert sums.agg(token_counts.quantile(0.5).alias("v")).first().v == np.sort(lens)[int(np.ceil(0.5 * len(lens))) - 1]
     assert token_counts.suffix_sums(token_counts.length_histogram(docs(spark, []), BYTE)).count() == 0
+
+
+def other_file(tmp_path):
+    """The lower-casing file with another pattern: digits in runs."""
+    spec = json.load(open(LOWER))
+    split = spec["pre_tokenizer"]["pretokenizers"][0]
+    split["pattern"]["Regex"] = split["pattern"]["Regex"].replace("[\\p{N}]|", "[\\p{N}]+|")
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_files_of_another_pattern(spark, tmp_path):
+    path = other_file(tmp_path)
+    code = Codec(path)
+    texts = [t or "" for t in TEXTS] + ["12 345", "12 345"]
+    n, ids = code.encode(pa.array(texts))
+    want = library(path, texts)
+    assert ids.tolist() == [i for w in want for i in w] and want[-1] != library(LOWER, texts)[-1]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    tok = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in word_table.digests(docs(spark, [*enumerate(texts)]), path).collect()}
+    for k, w in enumerate(want):
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(w), sha(",".join(map(str, w))), sha(tok.decode(w, skip_special_tokens=False)))
+
+
+def test_small_tables_of_words_change_nothing(spark, monkeypatch):
+    want = word_table.digests(docs(spark), BYTE).collect()
+    monkeypatch.setattr(word_table, "TABLE_WORDS", 3)
+    monkeypatch.setattr(common, "RANGE_WORDS", 5)
+    assert sorted(word_table.digests(docs(spark), BYTE).collect(), key=str) == sorted(want, key=str)
+
+
+def test_id_files_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    start, want = 0, {}
+    for r, w in zip(rows, library(LOWER, [r.text for r in rows]), strict=True):
+        w = [*w, 1]
+        want[r.doc_id] = (start, len(w), zlib.crc32(np.array(w, "<u4").tobytes()))
+        start += len(w)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_ids.query(spark, sf).collect()} == want
