@@ -245,6 +245,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 STAGE_WIDTH, STAGE_RADIUS, STAGE_FIRST = 5, 32, 20
 #: Distinct shingles and texts in a block of a group of candidates; two blocks meet in a task.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 4096
+#: Candidates (48 bytes each) that are broadcast at most.
+SENT = 1 << 20
 #: Sets of so many shingles at most are compared as sets: bits of few shingles tell neither like nor unlike texts.
 SMALL = 20
 
@@ -322,7 +324,10 @@ def verified(texts: DataFrame, candidates: DataFrame, width: int, radius: int, r
     ceil = lambda n, k: F.ceil(n / F.lit(k)).cast("long")
     sizes = candidates.groupBy("root").agg(F.greatest(ceil(F.sum("n"), BLOCK_SHINGLES), ceil(F.count(F.lit(1)), BLOCK_TEXTS)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = candidates.join(sizes, "root").withColumn("own", own).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    dealt = candidates.join(sizes, "root").withColumn("own", own)
+    # so few candidates are sent to the texts, so that no other text moves; more meet the texts in a merge join
+    dealt = F.broadcast(dealt) if candidates.count() <= SENT else dealt.hint("merge")
+    dealt = texts.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     # the block's side in its pair; a block with itself has one side
@@ -364,7 +369,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # what is similar to a set of SMALL * ratio shingles at most is small too
     large = distinct.filter(F.col("n") > SMALL * ratio).select("node", "fp", "fp2", "cell")
     tokens = distinct.select("node", F.explode("prefix").alias("token"))
-    least = tokens.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("token", "v")
+    # written, so that both sides of the join are plain exchanges, which Spark can split where a token is frequent
+    least = written(tokens.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("token", "v"), "tokens")
     small = tokens.join(least, "token").filter("node <> v").select(F.col("node").alias("u"), "v")
     near = components(_link(_deal(large, [0, 1]), first, radius).unionByName(small))
     roots = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
