@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import re._constants as sre
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -111,8 +112,82 @@ def smart_case(pattern: str, ignore: bool = False) -> str:
     return "(?i)" + pattern if ignore or not any(c.isupper() for c in literal) else pattern
 
 
+#: Most needles of a filter, and the fewest characters of one.
+NEEDLES, NEEDLE = 8, 3
+
+
+def _needles(parsed) -> list[str] | None:
+    """Strings of which every match of a parsed pattern holds one as it is; None where there is no such set."""
+    best: list[str] | None = None
+    run = ""
+
+    def offer(some: list[str] | None) -> None:
+        nonlocal best
+        # a long shortest needle first, then few of them
+        if some and (best is None or (min(map(len, some)), -len(some)) > (min(map(len, best)), -len(best))):
+            best = some
+
+    for op, arg in [*parsed, (None, None)]:
+        if op is sre.LITERAL and chr(arg).isascii() and not chr(arg).isspace() and chr(arg).isprintable() and chr(arg) not in '"\\':
+            run += chr(arg)
+            continue
+        if len(run) >= NEEDLE:
+            offer([run])
+        run = ""
+        if op is sre.SUBPATTERN:
+            offer(_needles(arg[3]))
+        elif op is sre.BRANCH:
+            each = [_needles(x) for x in arg[1]]
+            offer(list(dict.fromkeys(n for x in each for n in x)) if all(each) else None)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
+            offer(_needles(arg[2]))
+    return best
+
+
 def needles(pattern: str) -> list[str]:
-    """Literals that every match holds, for a filter on raw lines: none where a metacharacter makes that unsure."""
-    if re.search(r"[|?*{}()\[\]\\^$]", pattern):
+    """Literals of which every match holds one in the raw line as it is (no white space, nothing that JSON escapes): a
+    filter before anything is parsed. Empty where a match may hold none."""
+    if re.search(r"\(\?[a-zA-Z-]*[ix]", pattern):  # flags of its own
         return []
-    return [p for p in re.split(r"[.+\s\"/]", pattern) if len(p) > 2 and p.isascii()]
+    try:
+        found = _needles(re._parser.parse(pattern))
+    except (re.error, OverflowError):
+        return []
+    return found if found and len(found) <= NEEDLES else []
+
+
+def may_match(raw: Column, pattern: str, ignore: bool = False) -> Column:
+    """Whether a raw line can hold a match: it has one of the pattern's needles. True where the pattern has none."""
+    some = needles(pattern)
+    folded = smart_case(pattern, ignore) != pattern
+    hay = F.lower(raw) if folded else raw
+    out = F.lit(not some)
+    for n in some:
+        out = out | hay.contains(n.lower() if folded else n)
+    return out
+
+
+def intersects(first: Column, last: Column, since: Column | None, until: Column | None) -> Column:
+    """Whether the span from first to last meets the window; an open side holds all, a missing time is outside a bound."""
+    ok = F.lit(True)
+    if since is not None:
+        ok = ok & F.coalesce(last >= since, F.lit(False))
+    if until is not None:
+        ok = ok & F.coalesce(first <= until, F.lit(False))
+    return ok
+
+
+def faces(labels: list[str]) -> list[str]:
+    """All selectors that name something: every beginning of every label, once, in order."""
+    return list(dict.fromkeys(".".join(x.split(".")[:k]) for x in labels for k in range(1, x.count(".") + 2)))
+
+
+def statically_empty(include: list[str], exclude: list[str], labels: list[str], invisible: list[str]) -> bool:
+    """Whether no label can pass the selectors."""
+
+    def hit(spec: str, label: str) -> bool:
+        s = parse_selector(spec)
+        below = label.startswith(s.face + ".")
+        return below if s.glob else label == s.face or (below and label not in invisible)
+
+    return not any((any(hit(s, x) for s in include) if include else x not in invisible) and not any(hit(s, x) for s in exclude) for x in labels)
