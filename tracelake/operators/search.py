@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.grammar import Range, smart_case
+from tracelake.functions.grammar import Range, may_match, smart_case
 
 
 def with_turns(rows: DataFrame, opens: Column, session: str = "session_id", line: str = "line_no") -> DataFrame:
@@ -49,6 +49,19 @@ def capped(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(-n).orderBy(*order)
 
 
+def ranked(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """capped() with `rank`: the place of each row in the order shown, from 1. Only the rows kept are ranked."""
+    return capped(rows, n, order).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def candidates(lines: DataFrame, pattern: str, ignore_case: bool = False, also: list[str] | None = None) -> DataFrame:
+    """Raw lines that can hold a match, or one of the strings `also` (what structure needs), before anything is parsed."""
+    keep = may_match(F.col("value"), pattern, ignore_case)
+    for word in also or []:
+        keep = keep | F.col("value").contains(word)
+    return lines.filter(keep)
+
+
 def siblings(rows: DataFrame, hit: Column, caps: dict[str, int], session: str = "session_id", line: str = "line_no", kind: str = "role") -> DataFrame:
     """Rows of turns with a hit that are no hits themselves; of each kind with a cap, the first of the turn."""
     marked = rows.withColumn("hit", hit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Members of a line that the operators read; all else stays in `value`. A wrong type reads as null, never as an error.
@@ -15,16 +15,29 @@ message struct<role:string,content:string,model:string,stop_reason:string,id:str
 BLOCK = """array<struct<type:string,text:string,thinking:string,signature:string,data:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean,source:struct<type:string,media_type:string,data:string>>>"""
 
 
+#: Blocks of files whose first line numbers are broadcast at most (24 bytes each).
+BLOCKS = 1 << 22
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, session_id, is_subagent, parent_session_id, line_no (from 1), value. Blank lines count, carriage returns stay.
 
-    A file is one row of a task, so a transcript has to fit in a task's memory; files are spread over tasks.
+    Files are read in blocks by many tasks, whatever their size. A first pass counts the lines of each block; the numbers
+    of a block begin after those of the file's blocks before it. Should a later read deal blocks to tasks in another way,
+    it fails rather than give wrong numbers.
     """
-    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("value").alias("whole"), F.col("_metadata.file_path").alias("path"))
-    # a last newline ends the last line, it doesn't begin another
-    body = F.when(F.col("whole").endswith("\n"), F.expr("substring(whole, 1, length(whole) - 1)")).otherwise(F.col("whole"))
-    cut = raw.filter("whole <> ''").select("path", F.posexplode(F.split(body, "\n", -1)).alias("at", "value"))
-    return cut.select("path", *identity(F.col("path")), (F.col("at") + 1).cast("long").alias("line_no"), "value")
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(paths)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    # rows of a block stand one after the other in its task
+    block = [F.xxhash64("path").alias("p"), "at", F.shiftright("id", 33).alias("task")]
+    counts = raw.select(*block, "id").groupBy("p", "at", "task").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = counts.select("p", "at", "task", (before - F.col("first")).alias("shift")).collect()
+    starts = spark.createDataFrame(rows, "p long, at long, task long, shift long")
+    starts = F.broadcast(starts) if len(rows) <= BLOCKS else starts
+    numbered = raw.select("value", "path", "id", *block).join(starts, ["p", "at", "task"], "left")
+    number = F.coalesce("shift", F.raise_error(F.lit("the files' blocks changed since their lines were counted")).cast("long")) + F.col("id") + 1
+    return numbered.select("path", *identity(F.col("path")), number.alias("line_no"), "value")
 
 
 def identity(path: Column) -> list[Column]:
