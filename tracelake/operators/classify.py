@@ -40,6 +40,33 @@ STARTS = [
     ("Continue from where you left off.", "harness.resume.prompt"), ("# Autonomous loop tick", "harness.schedule.tick"), ("Run the autonomous check", "harness.schedule.tick"),
     ("Base directory for this skill:", "harness.context.skill"), ("[Image: ", "harness.context.image"), ("<system-reminder>", "harness.context.reminder"),
 ]
+#: What the harness's own prompts begin with, which are marked as meta.
+PROMPTS = [
+    ("<<autonomous-loop-dynamic>>", "harness.schedule.wakeup"), ("# Autonomous loop check", "harness.schedule.wakeup"), ("You're being invoked on a timer", "harness.schedule.wakeup"),
+    ("Stop hook feedback:", "harness.hook.feedback"), ("TeammateIdle hook feedback:", "harness.hook.feedback"), ("TaskCreated hook feedback:", "harness.hook.feedback"), ("TaskCompleted hook feedback:", "harness.hook.feedback"),
+    ("The last Edit failed because the target file was modified", "harness.enforce.retry"), ("[structured-output-enforce]", "harness.enforce.structured-output"),
+    ("You ended the turn without calling SendUserMessage.", "harness.enforce.brief"), ("[handback-send-enforce]", "harness.enforce.handback"),
+]
+#: Whole prompts that have a turn go on.
+CLASSIFIER_STOP = "Your response above was stopped by a safety classifier — this is not a tool or API error. The rest of it was withheld, and tool calls in it that had not finished did not run. Do not produce that content again, even reworded."
+CONTINUATIONS = [
+    "The previous response failed to produce a valid tool call. Please retry the tool call now.",
+    "Your tool call was malformed and could not be parsed. Please retry.",
+    "[Your previous response had no visible output. Please continue and produce a user-visible response.]",
+    "The PermissionDenied hook indicated you may retry this tool call.",
+    CLASSIFIER_STOP,
+    CLASSIFIER_STOP + ' Exception: a tool call whose result reads "Interrupted" was already running when the response was stopped; it may have partially or fully completed.',
+    "Output token limit hit. Resume directly — no apology, no recap of what you were doing. Pick up mid-thought if that is where the cut happened. Break remaining work into smaller pieces.",
+    "Your response above was cut off mid-stream. Resume directly from where it stops — no apology, no recap. If none of it survived, answer the request from the start.",
+    "Your response above was cut off mid-stream and only your next message is delivered. Write the complete response again from the start — no apology, no mention of the cut-off.",
+]
+#: Attachments that never become content for the model.
+NEVER_DELIVERED = [
+    "async_hook_response_batch", "batching_reminder_sent", "command_permissions", "deferred_tools_record", "goal_status", "hook_cancelled", "hook_non_blocking_error", "hook_system_message",
+    "prompt_snapshot", "structured_output", "thinking_drop", "thinking_stripped",
+]
+#: The header of a message that a hook delivers from another session.
+CHANNEL = r"^\[\w+-channel v1 "
 INVISIBLE = [
     "user.unsent", "user.rewound", "user.queued", "agent.thinking.omitted", "agent.thinking.redacted", "harness.compaction.boundary", "harness.schedule.event", "harness.hook.outcome",
     "harness.turn.duration", "harness.turn.stop-hooks", "harness.turn.recap", "harness.system.refusal", "harness.system.api-error", "harness.system.notice", "harness.system.kill",
@@ -62,7 +89,8 @@ def with_labels(records: DataFrame) -> DataFrame:
     rows = records.withColumn("blocks", blocks(r["message"]["content"])).withColumn("text", F.coalesce(flat_text(F.col("blocks")), F.lit("")))
     text = F.ltrim("text")
     meta, summary = F.coalesce(r["isMeta"], F.lit(False)), F.coalesce(r["isCompactSummary"], F.lit(False))
-    start = F.coalesce(*[F.when(text.startswith(s), F.lit(leaf)) for s, leaf in STARTS])
+    own = F.coalesce(*[F.when(text.startswith(s), F.lit(leaf)) for s, leaf in PROMPTS], F.when(text.isin(CONTINUATIONS), F.lit("harness.enforce.retry")))
+    start = F.coalesce(F.when(meta, own), *[F.when(text.startswith(s), F.lit(leaf)) for s, leaf in STARTS])
     note = F.regexp_extract(text, "<summary>\\s*(\\w+)", 1)
     pulse = F.when(text.startswith("<task-notification>"), F.coalesce(_table(F.lower(note), {"workflow": "harness.notification.workflow", "monitor": "harness.notification.monitor", "agent": "harness.notification.subagent", "background": "harness.notification.background-command"}), F.lit("harness.notification.task")))
     has = lambda kind: F.coalesce(F.exists("blocks", lambda b: b["type"] == kind), F.lit(False))
@@ -70,12 +98,11 @@ def with_labels(records: DataFrame) -> DataFrame:
     failed = F.coalesce(F.exists("blocks", lambda b: b["is_error"]), F.lit(False))
     answered = has("tool_result") & (F.coalesce(*[F.when(F.ltrim(result).startswith(a), True) for a in ANSWERS], F.lit(False)) | F.coalesce(F.get_json_object(r["toolUseResult"], "$.answers").isNotNull(), F.lit(False)))
     rejected = has("tool_result") & failed & (F.contains(result, F.lit(REJECTED)) | F.contains(result, F.lit("the user said:\\n")))
-    hookback = meta & text.rlike("^\\w+ hook feedback:\\n")
     when = lambda c, leaf: F.when(c, F.lit(leaf))
     typed = ~has("tool_result") & (text != "") & start.isNull() & pulse.isNull() & ~meta & ~summary
     user = F.array(
         when(summary, "harness.compaction.summary"), when(answered, "user.answer"), when(rejected, "user.rejection"), when(has("tool_result"), "agent.tool.result"),
-        when(hookback, "harness.hook.feedback"), F.when(~summary, F.coalesce(start, pulse)), when(typed, "user.message"),
+        F.when(~summary, F.coalesce(start, pulse)), when(typed, "user.message"),
     )
     per_block = F.transform(
         "blocks",
@@ -95,7 +122,7 @@ def with_labels(records: DataFrame) -> DataFrame:
         F.when(r["type"] == "user", user)
         .when(r["type"] == "assistant", F.concat(F.coalesce(per_block, F.array().cast("array<string>")), calls))
         .when(r["type"] == "system", F.array(_table(r["subtype"], SUBTYPES)))
-        .when(r["type"] == "attachment", F.array(_attachment(F.get_json_object(r["attachment"], "$.type"))))
+        .when(r["type"] == "attachment", F.array(F.when(channel_text(r).isNotNull(), F.lit("agent.communication.channel")), _attachment(F.get_json_object(r["attachment"], "$.type"))))
         .otherwise(F.array(F.coalesce(queue, _table(r["type"], LINE_TYPES))))
     )
     rows = rows.withColumn("labels", F.array_distinct(F.filter(labels, lambda x: x.isNotNull())))
@@ -103,6 +130,22 @@ def with_labels(records: DataFrame) -> DataFrame:
     return rows.withColumn("opens", F.coalesce(opens, F.lit(False)))
 
 
+def channel_text(r: Column) -> Column:
+    """What another session's message says, header included, of an attachment that a hook delivered; null for all else."""
+    content = lambda p: F.get_json_object(r["attachment"], p)
+    first = F.when(content("$.content").rlike(r"^\s*\["), content("$.content[0]")).otherwise(content("$.content"))
+    return F.when((content("$.type") == "hook_additional_context") & first.rlike(CHANNEL), first)
+
+
+def with_fires(labelled: DataFrame) -> DataFrame:
+    """Adds harness.schedule.fire: to a meta prompt without a label whose parent is a scheduled task's fire, unless it came
+    from elsewhere. Only uuids and line numbers meet; what is labelled so opens no turn."""
+    fires = labelled.filter((F.col("r.type") == "system") & (F.col("r.subtype") == "scheduled_task_fire") & F.col("r.uuid").isNotNull()).select("session_id", F.col("r.uuid").alias("parent")).distinct()
+    prompts = labelled.filter((F.col("r.type") == "user") & F.col("r.isMeta") & (F.size("labels") == 0) & F.get_json_object("value", "$.origin").isNull() & ~F.ltrim("text").rlike("^<(teammate|agent|cross-session)-message"))
+    found = prompts.select("session_id", "line_no", F.col("r.parentUuid").alias("parent")).join(fires, ["session_id", "parent"]).select("session_id", "line_no", F.lit(True).alias("__fired"))
+    return labelled.join(found, ["session_id", "line_no"], "left").withColumn("labels", F.when(F.col("__fired"), F.array(F.lit("harness.schedule.fire"))).otherwise(F.col("labels"))).drop("__fired")
+
+
 def visible(label: Column) -> Column:
     """Whether the model receives what has this label, by default."""
     return ~(label.isin(INVISIBLE) | label.startswith("harness.bookkeeping."))
@@ -110,7 +153,9 @@ def visible(label: Column) -> Column:
 
 def delivered(r: Column) -> Column:
     """A record's own word on whether the model received it; null where the label decides."""
-    return F.when((r["type"] == "system") & (r["subtype"] == "local_command"), True).when(r["isVirtual"], False).when((r["type"] == "assistant") & r["isApiErrorMessage"] & (r["message"]["model"] == "<synthetic>"), False)
+    kind = F.get_json_object(r["attachment"], "$.type")
+    attached = F.when(kind.isin(NEVER_DELIVERED), False).when(kind == "hook_success", r["rendered"].isNotNull())
+    return F.when(r["type"] == "attachment", attached).when((r["type"] == "system") & (r["subtype"] == "local_command"), True).when(r["isVirtual"], False).when((r["type"] == "assistant") & r["isApiErrorMessage"] & (r["message"]["model"] == "<synthetic>"), False)
 
 
 def bridge(labelled: DataFrame) -> DataFrame:
