@@ -85,7 +85,7 @@ def test_diffs_restore_the_new_text(spark):
     rng = random.Random(2)
     pairs = [(None, "a"), ("a", None), ("", ""), ("a\nb", "a\nb\n"), ("a\r\nb c\n", "a\nb d")]
     pairs += [tuple("".join(rng.choice("ab\n") for _ in range(rng.randrange(30))) for _ in "xy") for _ in range(100)]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", diff.unified_diff(F.col("a"), F.col("b"), 1).alias("u"), diff.char_diff(F.col("a"), F.col("b")).alias("c"))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", diff.unified_diff(F.col("a"), F.col("b"), 1).alias("u"), diff.changed_spans(F.col("a"), F.col("b")).alias("c"))
     for r in df.collect():
         a, b = r.a or "", r.b or ""
         assert patched(a, r.u) == b

@@ -44,10 +44,35 @@ def prefix_copies(rows: DataFrame, group: str, item: str, content: Column) -> Da
     return j.groupBy(group).agg(F.first("copies").alias("copies"), worst.alias("w")).select(group, "copies", F.element_at(F.array(F.lit("identical"), F.lit("prefix"), F.lit("divergent")), F.col("w") + 1).alias("relation"))
 
 
-def resend_prefix(rows: DataFrame, session: str, line: str, text: Column) -> DataFrame:
-    """Rows whose text begins with the text of the row before them in the session."""
-    before = F.lag(text).over(Window.partitionBy(session).orderBy(line))
-    return rows.withColumn("before", before).filter((F.length("before") > 0) & text.startswith(F.col("before")) & (text != F.col("before"))).drop("before")
+def nearest(left: DataFrame, right: DataFrame, by: str, lt: str, rt: str, value: str) -> DataFrame:
+    """Each left row with the nearest right row of the same key, earlier or later: <value>_near, gap (in units of the key,
+    which is a number), and tied: whether another right row is as near. Of tied rows the earlier, then the smaller value.
+
+    Equal times on the right are one row first; then one sort over the union, and a look to both sides.
+    """
+    b = right.groupBy(F.col(by).alias("k"), F.col(rt).alias("t")).agg(F.min(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    b = b.select("k", "t", F.lit(0).alias("side"), F.struct("t", "v", "n").alias("r"))
+    a = left.select(F.struct(*left.columns).alias("row"), F.col(by).alias("k"), F.col(lt).alias("t"), F.lit(1).alias("side"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    w = Window.partitionBy("k").orderBy("t", "side")
+    before = F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"p": before, "q": after}).filter("side = 1").withColumns({"dp": F.col("t") - F.col("p.t"), "dq": F.col("q.t") - F.col("t")})
+    first = F.col("dq").isNull() | (F.col("dp") <= F.col("dq"))
+    pick = F.when(F.col("dp").isNotNull() & first, F.col("p")).otherwise(F.col("q"))
+    tied = F.coalesce((F.col("dp") == F.col("dq")) & (F.col("p.t") != F.col("q.t")), F.lit(False)) | F.coalesce(pick["n"] > 1, F.lit(False))
+    return near.select("row.*", pick["v"].alias(f"{value}_near"), F.least("dp", "dq").alias("gap"), tied.alias("tied"))
+
+
+def identical(rows: DataFrame, item: str, content: Column) -> DataFrame:
+    """digest, copies, first_id of contents that several rows have; null contents are none. Only digests move."""
+    hashed = rows.filter(content.isNotNull()).select(F.sha2(content.cast("binary"), 256).alias("digest"), F.col(item).alias("i"))
+    return hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("i").alias("first_id")).filter("copies > 1")
+
+
+def unanswered(opened: DataFrame, answered: DataFrame, key: str) -> DataFrame:
+    """Keys of opened rows that nothing answers."""
+    return opened.select(key).distinct().join(answered.select(key), key, "left_anti")
 
 
 def branch_points(edges: DataFrame, parent: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions import diff, grammar, text
+from tracelake.functions import diff, grammar, ids, paths, text, times
 from tracelake.operators import aggregate, graph, joins, live, search, verbatim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,14 +57,16 @@ def search_smart_case(documents):
     return documents.filter(low).select("doc_id", up.alias("upper"), low.alias("lower"))
 
 
-@query("SELECT session_id, line_no FROM (SELECT conv_id AS session_id, turn + 1 AS line_no, text FROM conversations) WHERE regexp_matches(text, 'ing', 'i') ORDER BY 1, 2 LIMIT 25")
+@query("""SELECT session_id, line_no, row_number() OVER (ORDER BY session_id, line_no) AS rank FROM (SELECT conv_id AS session_id, turn + 1 AS line_no, text FROM conversations)
+WHERE regexp_matches(text, 'ing', 'i') ORDER BY 1, 2 LIMIT 25""")
 def search_signed_cap_first(conversations):
-    return search.capped(lines(conversations).filter(search.matches(F.col("text"), "ing")).select("session_id", "line_no"), 25, ["session_id", "line_no"])
+    return search.ranked(lines(conversations).filter(search.matches(F.col("text"), "ing")).select("session_id", "line_no"), 25, ["session_id", "line_no"])
 
 
-@query("SELECT session_id, line_no FROM (SELECT conv_id AS session_id, turn + 1 AS line_no, text FROM conversations) WHERE regexp_matches(text, 'ing', 'i') ORDER BY 1 DESC, 2 DESC LIMIT 25")
+@query("""SELECT session_id, line_no, row_number() OVER (ORDER BY session_id, line_no) AS rank FROM (SELECT session_id, line_no FROM (SELECT conv_id AS session_id, turn + 1 AS line_no, text
+FROM conversations) WHERE regexp_matches(text, 'ing', 'i') ORDER BY 1 DESC, 2 DESC LIMIT 25)""")
 def search_signed_cap_last(conversations):
-    return search.capped(lines(conversations).filter(search.matches(F.col("text"), "ing")).select("session_id", "line_no"), -25, ["session_id", "line_no"])
+    return search.ranked(lines(conversations).filter(search.matches(F.col("text"), "ing")).select("session_id", "line_no"), -25, ["session_id", "line_no"])
 
 
 @query(TURNS + """, m AS (SELECT *, coalesce(regexp_matches(text, 'tion', 'i'), false) AS hit FROM t), a AS (SELECT *, bool_or(hit) OVER (PARTITION BY session_id, turn_index) AS some_hit FROM m),
@@ -143,7 +145,7 @@ HAVING min(ts) <= (SELECT min(ts) FROM events) + INTERVAL 12 HOUR AND max(ts) >=
 def span_intersects(events):
     low = events.agg(F.min("ts").alias("low"))
     spans = events.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    overlap = (F.col("first_ts") <= F.col("low") + F.expr("INTERVAL 12 HOUR")) & (F.col("last_ts") >= F.col("low") + F.expr("INTERVAL 6 HOUR"))
+    overlap = grammar.intersects(F.col("first_ts"), F.col("last_ts"), F.col("low") + F.expr("INTERVAL 6 HOUR"), F.col("low") + F.expr("INTERVAL 12 HOUR"))
     return spans.join(F.broadcast(low), overlap).drop("low")
 
 
@@ -185,9 +187,9 @@ def type_census(events):
 
 
 @query("""SELECT coalesce(u.k, r.k) AS k, CASE WHEN u.k IS NULL THEN 'orphan' WHEN r.k IS NULL THEN 'pending' ELSE 'paired' END AS state
-FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0) u FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) r ON u.k = r.k""")
+FROM (SELECT DISTINCT o_orderkey AS k FROM orders) u FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem) r ON u.k = r.k""")
 def pairing_outer(orders, lineitem):
-    return joins.pairing(orders.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k")), lineitem.select(F.col("l_orderkey").alias("k")), "k")
+    return joins.pairing(orders.select(F.col("o_orderkey").alias("k")), lineitem.select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("SELECT o_orderkey AS k, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
@@ -203,12 +205,15 @@ def asof_nearest(events):
     return joins.asof(buys, clicks, "user_id", "ts", "ts", "click", "INTERVAL 1 HOUR").select("event_id", F.col("click_asof").alias("event_id_asof"))
 
 
-@query("""SELECT a.event_id, (SELECT arg_max(b.event_id, b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS event_id_asof
-FROM events a WHERE a.event_type = 'signup'""")
+@query("""WITH v AS (SELECT user_id, epoch_us(ts) // 60000000 AS m, min(event_id) AS v, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+p AS (SELECT a.event_id, epoch_us(a.ts) // 60000000 AS m, v.m AS t, v.v, v.n, abs(v.m - epoch_us(a.ts) // 60000000) AS gap FROM events a JOIN v USING (user_id) WHERE a.event_type = 'signup'),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, t) AS k, count(*) OVER (PARTITION BY event_id, gap) AS as_near FROM p)
+SELECT a.event_id, r.v AS view_near, r.gap, coalesce(r.as_near > 1 OR r.n > 1, false) AS tied FROM events a LEFT JOIN r ON r.event_id = a.event_id AND r.k = 1 WHERE a.event_type = 'signup'""")
 def nearest_with_ties(events):
-    ups = events.filter("event_type = 'signup'").select("event_id", "user_id", "ts")
-    views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view"))
-    return joins.asof(ups, views, "user_id", "ts", "ts", "view").select("event_id", F.col("view_asof").alias("event_id_asof"))
+    minute = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    ups = events.filter("event_type = 'signup'").select("event_id", "user_id", minute.alias("m"))
+    views = events.filter("event_type = 'view'").select("user_id", minute.alias("t"), F.col("event_id").alias("view"))
+    return joins.nearest(ups, views, "user_id", "m", "t", "view").select("event_id", "view_near", "gap", "tied")
 
 
 @query("""WITH w AS (SELECT *, max(CASE WHEN event_type = 'view' THEN ts END) OVER v AS m, max(CASE WHEN event_type = 'click' THEN ts END) OVER v AS e FROM events
@@ -252,9 +257,9 @@ def topology_depth(nation, customer, orders):
     return graph.depths(edges_of(nation, customer, orders)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT c_custkey AS root FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def abandoned_roots(customer, orders):
-    return customer.select(F.col("c_custkey").alias("root")).join(orders.select(F.col("o_custkey").alias("root")), "root", "left_anti")
+@query("SELECT DISTINCT o_orderkey AS root FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+def abandoned_roots(orders, lineitem):
+    return joins.unanswered(orders.select(F.col("o_orderkey").alias("root")), lineitem.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("root")), "root")
 
 
 @query("SELECT array_to_string(list_slice(string_split(regexp_replace(url, '[?#].*$', ''), '/'), 1, 4), '/') AS bucket, count(*) AS n, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
@@ -271,7 +276,7 @@ def files_rollup_dir(documents):
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dedup_identical(documents):
-    return documents.filter("text IS NOT NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+    return joins.identical(documents, "doc_id", F.col("text"))
 
 
 @query("""WITH c AS (SELECT doc_id % 1000 AS g, doc_id AS i, text AS c FROM documents UNION ALL SELECT doc_id % 1000, -doc_id - 1, substr(text, 1, 200) FROM documents),
@@ -283,12 +288,13 @@ def dedup_prefix_copies(documents):
     return joins.prefix_copies(a.unionByName(b), "g", "i", F.col("c"))
 
 
-@query("""WITH r AS (SELECT conv_id AS s, turn * 2 AS l, substr(text, 1, 40) AS x FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, text FROM conversations),
-w AS (SELECT *, lag(x) OVER (PARTITION BY s ORDER BY l) AS b FROM r) SELECT s, l FROM w WHERE length(b) > 0 AND starts_with(x, b) AND x <> b""")
+@query("""WITH r AS (SELECT conv_id AS s, turn // 6 AS g, turn * 2 AS l, substr(text, 1, 90) AS x FROM conversations UNION ALL SELECT conv_id, turn // 6, turn * 2 + 1, text FROM conversations)
+SELECT a.s, a.l, max(b.l) AS superseded_by FROM r a JOIN r b ON a.s = b.s AND a.g = b.g AND b.l > a.l AND length(a.x) >= 80 AND starts_with(lower(b.x), lower(a.x)) GROUP BY 1, 2""")
 def resend_prefix(conversations):
-    a = conversations.select(F.col("conv_id").alias("s"), (F.col("turn") * 2).alias("l"), F.substring("text", 1, 40).alias("x"))
-    b = conversations.select(F.col("conv_id").alias("s"), (F.col("turn") * 2 + 1).alias("l"), F.col("text").alias("x"))
-    return joins.resend_prefix(a.unionByName(b), "s", "l", F.col("x")).select("s", "l")
+    key = [F.col("conv_id").alias("s"), F.expr("turn div 6").alias("g")]
+    a = conversations.select(*key, (F.col("turn") * 2).alias("l"), F.substring("text", 1, 90).alias("x"))
+    b = conversations.select(*key, (F.col("turn") * 2 + 1).alias("l"), F.col("text").alias("x"))
+    return verbatim.superseded(a.unionByName(b), ["s", "g"], "l", F.col("x")).filter("superseded_by IS NOT NULL").select("s", "l", "superseded_by")
 
 
 @query(r"SELECT doc_id, substr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 80) AS fp FROM documents")
@@ -329,12 +335,13 @@ def human_bytes(documents):
     return documents.select("doc_id", text.human_bytes(F.col("n_chars") * 97).alias("size"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')), '') AS h1 FROM pages")
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')), '') AS h1 FROM pages")
 def xml_tag_extract(pages):
     return pages.select("page_id", text.xml_tag(F.col("html"), "h1").alias("h1"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 's')) AS INTEGER) AS n, coalesce(array_to_string(regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 's'), '|'), '') AS items FROM pages")
+@query("""WITH i AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages)
+SELECT page_id, CAST(len(l) AS INTEGER) AS n, coalesce(array_to_string(l, '|'), '') AS items FROM i""")
 def xml_all_tags(pages):
     got = text.xml_tags(F.col("html"), "li")
     return pages.select("page_id", F.size(got).alias("n"), F.array_join(got, "|").alias("items"))
@@ -372,17 +379,19 @@ def verdict_rank(events):
     return joins.last_state(events, "user_id", ["ts"], "event_type", {"error": "stale-dead", "click": "running", "purchase": "idle-eot"}, "unknown")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank FROM (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)")
 def topn_recent_then_reorder(orders):
-    return search.capped(orders.select("o_orderkey", "o_orderdate"), -50, ["o_orderdate", "o_orderkey"])
+    return search.ranked(orders.select("o_orderkey", "o_orderdate"), -50, ["o_orderdate", "o_orderkey"])
 
 
-@query("""WITH n AS (SELECT conv_id, turn, text, CAST(ceil(length(text) / 100.0) AS BIGINT) AS k FROM conversations WHERE length(text) > 0)
-SELECT conv_id, turn, w AS window_no, substr(text, CAST(w * 100 + 1 AS BIGINT), 100) AS part FROM (SELECT conv_id, turn, text, unnest(range(0, k)) AS w FROM n)""")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, text || chr(10) || text AS x FROM conversations WHERE length(text) > 0),
+w AS (SELECT conv_id, turn, x, 0 AS window_no, '' AS part, CAST(1 AS BIGINT) AS p FROM t
+UNION ALL SELECT conv_id, turn, x, window_no + 1, substr(x, p, n), p + n FROM (SELECT *, CASE WHEN length(x) - p + 1 <= 100 THEN length(x) - p + 1
+ WHEN strpos(reverse(substr(x, p, 100)), chr(10)) > 0 THEN 101 - strpos(reverse(substr(x, p, 100)), chr(10)) ELSE 100 END AS n FROM w WHERE p <= length(x)))
+SELECT conv_id, turn, window_no - 1 AS window_no, part FROM w WHERE window_no > 0""")
 def slice_windows(conversations):
-    n = F.ceil(F.length("text") / 100)
-    cut = conversations.filter(F.length("text") > 0).withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return cut.select("conv_id", "turn", "window_no", F.substring("text", (F.col("window_no") * 100 + 1).cast("int"), F.lit(100)).alias("part"))
+    both = conversations.filter(F.length("text") > 0).select("conv_id", "turn", text.windows(F.concat("text", F.lit("\n"), "text"), 100).alias("parts"))
+    return both.select("conv_id", "turn", F.posexplode("parts").alias("window_no", "part"))
 
 
 @query("""SELECT role AS label, count(*) AS n FROM conversations WHERE regexp_matches(text, 'ation', 'i') GROUP BY 1""")
@@ -432,22 +441,39 @@ def open_questions(events):
     return live.questions(markers).select("key", F.col("line_no").alias("event_id"))
 
 
-@query("""WITH told AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' END AS state FROM events WHERE event_type IN ('click', 'error') AND event_id % 40 < 2)
+@query("""WITH told AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' END AS state FROM events WHERE event_type IN ('click', 'error'))
 SELECT u.user_id, coalesce(arg_max(state, event_id), 'running') AS state FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN told USING (user_id) GROUP BY 1""")
 def background_tasks(events):
     task = F.concat(F.lit("t"), F.col("user_id").cast("string"))
     tasks = events.select(F.lit("s").alias("session_id"), F.col("user_id").alias("call_id"), task.alias("task_id")).distinct()
     state = F.when(F.col("event_type") == "click", "completed").when(F.col("event_type") == "error", "failed")
     odd = F.col("event_id") % 2 == 1
-    carriers = events.filter("event_id % 40 < 2").select(F.lit("s").alias("session_id"), F.col("event_id").alias("line_no"), F.when(odd, F.col("user_id")).alias("call_id"), F.when(~odd, task).alias("task_id"), state.alias("state"))
+    carriers = events.select(F.lit("s").alias("session_id"), F.col("event_id").alias("line_no"), F.when(odd, F.col("user_id")).alias("call_id"), F.when(~odd, task).alias("task_id"), state.alias("state"))
     return live.background(tasks, carriers).select(F.col("call_id").alias("user_id"), "state")
 
 
-@query()
+PLAN = TURNS + """, c AS (SELECT session_id AS s, turn_index AS turn, coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS u, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS a, max(line_no) AS latest,
+ turn_index % 3 = 1 AS repeated, turn_index // 2 AS crossed FROM t GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY latest DESC, turn DESC) AS r, count(*) OVER (PARTITION BY s) AS n FROM c),
+i AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY phase, repeated, r) AS k FROM o, (VALUES (1), (2)) p(phase)),
+g AS (SELECT DISTINCT s, 0 AS k, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS deep, false AS stop, map([CAST(-1 AS BIGINT)], ['']) AS chosen FROM o
+UNION ALL SELECT s, k, CASE WHEN sides <> '' THEN spent + cost ELSE spent END, CASE WHEN sides <> '' THEN depth ELSE deep END, stop OR over, CASE WHEN sides <> '' THEN map_concat(chosen, map([turn], [sides])) ELSE chosen END
+ FROM (SELECT *, CASE sides WHEN 'both' THEN u + a WHEN 'user' THEN u WHEN 'agent' THEN a ELSE 0 END AS cost, phase = 1 AND sides <> '' AND spent + u + a > 750 AS over
+  FROM (SELECT g.s, i.k, g.spent, g.deep, g.stop, g.chosen, i.turn, i.u, i.a, i.phase, greatest(g.deep, i.crossed) AS depth, CASE
+   WHEN map_contains(g.chosen, i.turn) THEN ''
+   WHEN i.phase = 1 THEN CASE WHEN i.u > 0 AND i.a > 0 AND g.spent + i.u + i.a + 40 * greatest(g.deep, i.crossed) <= 1500 AND (g.spent + i.u + i.a <= 750 AND (i.repeated OR NOT g.stop) OR g.spent = 0 AND NOT i.repeated) THEN 'both' ELSE '' END
+   WHEN i.u > 0 AND i.a > 0 AND g.spent + i.u + i.a + 40 * greatest(g.deep, i.crossed) <= 1500 THEN 'both'
+   WHEN i.u > 0 AND g.spent + i.u + 40 * greatest(g.deep, i.crossed) <= 1500 THEN 'user'
+   WHEN i.a > 0 AND g.spent + i.a + 40 * greatest(g.deep, i.crossed) <= 1500 THEN 'agent' ELSE '' END AS sides
+   FROM g JOIN i ON i.s = g.s AND i.k = g.k + 1)))
+SELECT s AS session_id, e.key AS turn, e.value AS sides FROM (SELECT s, unnest(map_entries(chosen)) AS e FROM g JOIN (SELECT s, max(k) AS k FROM i GROUP BY 1) USING (s, k)) WHERE e.key >= 0"""
+
+
+@query(PLAN.replace("WITH l AS", "WITH RECURSIVE l AS", 1))
 def budget_planner(conversations):
     cost = lambda role: F.sum(F.when(F.col("role") == role, F.length("text"))).alias(f"{'agent' if role == 'assistant' else role}_cost")
     turns = turned(conversations).groupBy("session_id", F.col("turn_index").alias("turn")).agg(cost("user"), cost("assistant"), F.max("line_no").alias("latest_line"))
-    return verbatim.plan_budget(turns.withColumns({"repeated": F.col("turn") % 3 == 1, "crossed": F.lit(0)}), "session_id", 1500)
+    return verbatim.plan_budget(turns.withColumns({"repeated": F.col("turn") % 3 == 1, "crossed": F.expr("turn div 2")}), "session_id", 1500, banners=40)
 
 
 @query()
@@ -459,4 +485,49 @@ def unified_diff(conversations):
 @query()
 def char_diff(conversations):
     before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    return conversations.withColumn("before", before).select("conv_id", "turn", F.inline(diff.char_diff(F.col("before"), F.col("text")))).withColumnRenamed("text", "fresh")
+    return conversations.withColumn("before", before).select("conv_id", "turn", diff.char_diff(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.*")
+
+
+@query()
+def changed_spans(conversations):
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return conversations.withColumn("before", before).select("conv_id", "turn", F.inline(diff.changed_spans(F.col("before"), F.col("text")))).withColumnRenamed("text", "fresh")
+
+
+@query("SELECT doc_id, length(text) || CASE WHEN length(text) = 1 THEN ' char' ELSE ' chars' END AS size FROM documents")
+def plural_noun(documents):
+    return documents.select("doc_id", text.count_of(F.length("text"), "char").alias("size"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS l FROM documents)
+SELECT doc_id, CASE WHEN length(l) <= 60 THEN l ELSE substr(l, 1, 60) || '… (+' || (length(l) - 60) || CASE WHEN length(l) = 61 THEN ' char)' ELSE ' chars)' END END AS line FROM n""")
+def collapse_and_cut(documents):
+    return documents.select("doc_id", text.one_line(F.col("text"), 60).alias("line"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm'
+ ELSE (s // 86400) || 'd ' || (s // 3600 % 24) || 'h' END AS d FROM (SELECT event_id, (event_id * 1777 + 500) // 1000 AS s FROM events)""")
+def fmt_duration_ms(events):
+    return events.select("event_id", text.duration_ms(F.col("event_id") * 1777).alias("d"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, 'href=\"([^\"]*)\"', 1)), '') AS href FROM pages")
+def xml_attribute(pages):
+    return pages.select("page_id", text.xml_attribute(F.col("html"), "href").alias("href"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) SELECT page_id, CASE WHEN strpos(u, '/') = 0 THEN '.' ELSE regexp_replace(u, '/[^/]*$', '') END AS folder, regexp_matches(u, '(^|/)index\.html$') AS is_index FROM p""")
+def path_parts(pages):
+    u = F.regexp_replace("url", "[?#].*$", "")
+    return pages.select("page_id", paths.parent(u).alias("folder"), paths.names_file("index.html", u).alias("is_index"))
+
+
+@query("""SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, strftime(make_timestamp(CAST(event_id AS BIGINT) * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS of_hours FROM events""")
+def time_texts(events):
+    raw = F.concat(F.regexp_replace(F.col("ts").cast("timestamp_ntz").cast("string"), " ", "T"), F.lit("Z"))
+    return events.select("event_id", times.epoch_ms(raw).alias("ms"), times.utc_of_seconds(F.col("event_id") * 3600).alias("of_hours"))
+
+
+@query("SELECT doc_id, CAST(list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END)) AS BIGINT) AS units FROM documents WHERE length(text) > 0")
+def utf16_length(documents):
+    return documents.filter(F.length("text") > 0).select("doc_id", ids.utf16_units(F.col("text")).alias("units"))
