@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tracelake.llm.common import list_parts, ragged
+from tracelake.llm.common import held, list_parts, ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -74,6 +74,8 @@ class Codec:
         self._memo: dict[str, bytes] = {}
         self._unit_memo: dict[str, bytes] = {}
         self._limit = memo
+        #: pieces by id, and decimal digits with a comma by id, where something needs them
+        self.tables: tuple[pa.Array, pa.Array] | None = None
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word as the pre-tokenizer gives it, or of a special token; of a whole text for files of another kind."""
@@ -191,11 +193,6 @@ class Codec:
         return np.diff(upto[off]), ids
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """The codec of a file, one for each Python worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """The codec of a file."""
+    return held(("codec", path), lambda: Codec(path))

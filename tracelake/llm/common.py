@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -93,6 +93,20 @@ def release() -> None:
         pass
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]):
+    """What key names, built once by each worker. Workers live on through a job's stages, so one holds one such thing (a
+    model, a table, a tokenizer) at a time: what an earlier stage needed goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = build()
+        release()
+    return _HELD[key]
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Regroup a task's batches into blocks of about `limit` bytes of text; null texts become empty ones."""
     held: list[pa.RecordBatch] = []

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hash_strings, list_parts, mix64, one_chunk, ragged, string_parts, text_blocks
+from tracelake.llm.common import hash_strings, held, list_parts, mix64, one_chunk, ragged, string_parts, text_blocks
 
 #: Share of an item's words that may be edited; share of copies at that limit that the walks find; sampled steps of a walk.
 EDITS, RECALL, SAMPLES = 0.2, 0.95, 3
@@ -317,16 +317,10 @@ def parts_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
         yield ids, texts
 
 
-_ITEMS: dict[str, Items] = {}
-
-
 def _items(sent) -> Items:
-    """The items of a broadcast part, made once by each worker."""
+    """The items of a broadcast part."""
     ids, texts, key = sent.value
-    if key not in _ITEMS:
-        _ITEMS.clear()
-        _ITEMS[key] = Items(ids, texts)
-    return _ITEMS[key]
+    return held(("items", key), lambda: Items(ids, texts))
 
 
 MATCHES = "doc_id long, item_id long, begin long, end long, edits long"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import open_fs, pack, plus, scratch, unpack, written
+from tracelake.llm.common import held, open_fs, pack, plus, scratch, unpack, written
 
 MIN_BITS, MAX_BITS, SEGMENT_BITS = 1 << 20, 1 << 30, 1 << 20
 #: Bits of the array for each row, and bits that a row sets.
@@ -86,12 +86,10 @@ def repeated_bits(hashed: DataFrame, bits: int, path: str, hashes: int = HASHES)
     dealt.repartition(n, "segment").mapInArrow(add, "segment long, bits binary").write.parquet(path)
 
 
-_ARRAYS: dict[str, np.ndarray] = {}
-
-
 def _array(path: str, bits: int) -> np.ndarray:
-    """The bit array, read once by each worker from shared storage; segments without a repeated bit have no row."""
-    if path not in _ARRAYS:
+    """The bit array, read by each worker from shared storage; segments without a repeated bit have no row."""
+
+    def read() -> np.ndarray:
         import pyarrow.dataset as ds
 
         fs, base = open_fs(path)
@@ -99,9 +97,9 @@ def _array(path: str, bits: int) -> np.ndarray:
         for batch in ds.dataset(base, filesystem=fs, format="parquet", exclude_invalid_files=False).to_batches():
             for s, packed in zip(batch["segment"].to_pylist(), batch["bits"].to_pylist(), strict=True):
                 out[s * SEGMENT_BITS // 8 : (s + 1) * SEGMENT_BITS // 8] = unpack(packed, np.uint8)
-        _ARRAYS.clear()
-        _ARRAYS[path] = out
-    return _ARRAYS[path]
+        return out
+
+    return held(("bits", path), read)
 
 
 def maybe_repeated(hashed: DataFrame, bits: int, hashes: int = HASHES) -> DataFrame:

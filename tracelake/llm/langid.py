@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BLOCK_BYTES, plus, release
+from tracelake.llm.common import BLOCK_BYTES, held, plus, release
 
 SAMPLE, SAMPLES, SLICE, DRAWN, PIECE = 60_000, 4_000_000, 8_000, 4, 128
 #: Entries of the tables of moves over all languages; beyond them moves are looked up by binary search.
@@ -140,7 +139,6 @@ class SuffixAutomaton:
         return count + change
 
 
-@cache
 def letters() -> np.ndarray:
     """By code point: that of the lower-cased letter, 0 for what is no letter."""
     out = np.zeros(0x110000, np.int32)
@@ -155,14 +153,15 @@ class Model:
 
     def __init__(self, samples: dict[str, str], dense: int = DENSE):
         self.languages = sorted(samples)
-        points = {k: letters()[self._points(t)] for k, t in samples.items()}
+        lower = letters()
+        points = {k: lower[self._points(t)] for k, t in samples.items()}
         known = np.unique(np.concatenate([np.zeros(0, np.int32), *points.values()]))
         known = known[known > 0]
         #: number of each code point: 0 gap, 1 a letter that no sample has
         number = np.ones(0x110000, np.int32)
         number[0] = 0
         number[known] = np.arange(len(known)) + 2
-        self.number = number[letters()]
+        self.number = number[lower]
         self.automata, self.symbols, self.weight = {}, {}, {}
         for k in self.languages:
             seq, _ = self.sequences([samples[k]])
@@ -238,16 +237,10 @@ class Model:
         return lang, score, spelt
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(sent) -> Model:
-    """The model of a broadcast sample, built once by each worker."""
+    """The model of a broadcast sample."""
     samples, key = sent.value
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(samples)
-    return _MODELS[key]
+    return held(("languages", key), lambda: Model(samples))
 
 
 def fold(id_col: str) -> Column:

@@ -168,15 +168,12 @@ def joined(ids: np.ndarray, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(got.buffers()[2] or b"", np.uint8)
 
 
-_TABLES: dict[int, tuple[pa.Array, pa.Array]] = {}
-
-
 def tables_of(code: Codec) -> tuple[pa.Array, pa.Array]:
     """Pieces by id, and decimal digits with a comma by id."""
-    if id(code) not in _TABLES:
+    if code.tables is None:
         p = pieces(code)
-        _TABLES[id(code)] = p, pa.array([b"%d," % i for i in range(len(p))], pa.large_binary())
-    return _TABLES[id(code)]
+        code.tables = p, pa.array([b"%d," % i for i in range(len(p))], pa.large_binary())
+    return code.tables
 
 
 def _documents(batches: Iterator[pa.RecordBatch], code: Codec) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
