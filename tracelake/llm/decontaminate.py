@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hash_strings, held, list_parts, mix64, one_chunk, ragged, string_parts, text_blocks
+from tracelake.llm.common import BLOCK_BYTES, hash_strings, held, list_parts, mix64, one_chunk, ragged, string_parts, text_blocks
 
 #: Share of an item's words that may be edited; share of copies at that limit that the walks find; sampled steps of a walk.
 EDITS, RECALL, SAMPLES = 0.2, 0.95, 3
@@ -50,6 +50,8 @@ WALKS, MEASURED = 96, 400
 STARTS = 1 << 18
 #: Words of the benchmark in one pass; bits of the table of word pairs.
 PART_WORDS, PAIR_BITS = 4_000_000, 28
+#: Bytes of text that are searched together: a block's distinct words become strings of the worker.
+BLOCK = BLOCK_BYTES >> 1
 #: Places of pieces that are looked at together.
 PLACES = 1 << 20
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -92,18 +94,24 @@ def run_codes(seq: np.ndarray, at: np.ndarray, g: int) -> np.ndarray:
     return code
 
 
+@cache
+def factors(repeat: int, bits: int) -> np.ndarray:
+    """Odd numbers for the first 2^bits steps of a walk."""
+    return mix64((np.uint64(repeat) << np.uint64(20)) + np.arange(1, (1 << bits) + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def walk(seq: np.ndarray, starts: np.ndarray, repeat: int, steps: np.ndarray) -> np.ndarray:
     """Where a walk from each start stands at each of the steps (in order); what bounds its window doesn't change it."""
     at = starts.astype(np.int64)
     out = np.empty((len(steps), len(at)), np.int64)
     row, end = 0, len(seq) - 1
+    odd = factors(repeat, int(steps[-1]).bit_length())
     for step in range(int(steps[-1]) + 1):
         if step == steps[row]:
             out[row] = at
             row += 1
         # a random bit of word and step: the highest one of a product with an odd factor
-        factor = mix64(np.array([(repeat << 20) + step + 1], np.uint64))[0] | np.uint64(1)
-        at = at + ((seq[np.minimum(at, end)] * factor) >> np.uint64(63)).astype(np.int64)
+        at = at + ((seq[np.minimum(at, end)] * odd[step]) >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -336,7 +344,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = None
-            for block in text_blocks(batches):
+            for block in text_blocks(batches, limit=BLOCK):
                 items = items or _items(sent)
                 got = items.search(*word_codes(one_chunk(block["text"])))
                 if got:
@@ -357,7 +365,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
             for batch in batches:
                 items, found, at = _items(sent), np.zeros(batch.num_rows, bool), 0
                 only = pa.RecordBatch.from_arrays([batch.column(where)], ["text"])
-                for block in text_blocks(iter([only])):
+                for block in text_blocks(iter([only]), limit=BLOCK):
                     for d, *_ in items.search(*word_codes(one_chunk(block["text"]))):
                         found[at + d] = True
                     at += block.num_rows
