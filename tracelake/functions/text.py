@@ -153,6 +153,16 @@ def ranges(values: Column) -> Column:
     return F.when(n > 0, F.array_join(runs, ", ")).when(n == 0, F.lit(""))
 
 
+def gaps(lines: Column, total: Column) -> Column:
+    """(first, last) of each run of numbers from 1 to total that a sorted array of distinct line numbers leaves out. A null
+    total ends at the last line; without lines all are missing."""
+    n = F.size(lines)
+    starts = F.concat(F.array(F.lit(0).cast("long")), lines.cast("array<bigint>"))
+    ends = F.concat(lines.cast("array<bigint>"), F.array(F.coalesce(total.cast("bigint"), F.get(lines, n - 1).cast("bigint"), F.lit(0).cast("long")) + 1))
+    pairs = F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    return F.filter(pairs, lambda g: g["first"] <= g["last"])
+
+
 def is_uuid(text: Column) -> Column:
     return text.rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions import text as texts
+
 WRITERS = {"Write": "write", "Edit": "edit", "MultiEdit": "multi-edit", "NotebookEdit": "notebook-edit"}
 
 
@@ -43,7 +46,7 @@ def file_events(calls: DataFrame, results: DataFrame) -> DataFrame:
         "session_id", path.alias("path"), "line_no", event.alias("event"), F.coalesce(at("$.file.content"), F.get_json_object("input", "$.content")).alias("text"),
         F.coalesce(at("$.file.startLine").try_cast("long"), F.lit(1)).alias("start"), at("$.file.totalLines").try_cast("long").alias("total"),
         F.coalesce(at("$.oldString"), F.get_json_object("input", "$.old_string")).alias("old"), F.coalesce(at("$.newString"), F.get_json_object("input", "$.new_string")).alias("new"),
-        F.coalesce(at("$.replaceAll").try_cast("boolean"), F.lit(False)).alias("every"),
+        F.coalesce(at("$.replaceAll").try_cast("boolean"), F.lit(False)).alias("every"), at("$.structuredPatch").alias("patch"),
     ).filter("event IS NOT NULL AND path IS NOT NULL")
 
 
@@ -65,6 +68,13 @@ def replay(events: Iterable[dict]) -> tuple[dict[int, str], int | None, int, int
         elif e["event"] == "modified_since_read":
             known, whole, hard = {}, None, hard + 1
         elif e["event"] == "edit":
+            if hunks := hunks_of(e.get("patch")):
+                fresh = patched(known, hunks)
+                holes += fresh is None
+                if fresh is not None:
+                    known = fresh
+                    whole = whole + sum(h["newLines"] - h["oldLines"] for h in hunks) if whole is not None else None
+                continue
             old, new = e["old"] or "", e["new"] or ""
             # within runs of neighbouring known lines only: nothing is made up between them
             done = False
@@ -82,6 +92,35 @@ def replay(events: Iterable[dict]) -> tuple[dict[int, str], int | None, int, int
     return known, whole, holes, hard
 
 
+def hunks_of(patch: str | None) -> list[dict]:
+    """The hunks of a structured patch; none if it isn't one."""
+    try:
+        hunks = json.loads(patch) if patch else []
+    except ValueError:
+        return []
+    numbers = ("oldStart", "oldLines", "newLines")
+    fit = isinstance(hunks, list) and all(isinstance(h, dict) and all(isinstance(h.get(k), int) and h[k] >= 0 for k in numbers) and isinstance(h.get("lines"), list) for h in hunks)
+    return hunks if fit else []
+
+
+def patched(known: dict[int, str], hunks: list[dict]) -> dict[int, str] | None:
+    """Known lines after hunks that name their places; null, and nothing done, if one doesn't fit. A hunk fits if the lines
+    it replaces are known and are what it says, and a line it stands on or next to is known."""
+    shift = 0
+    for h in hunks:
+        size = h["oldLines"]
+        first = max(h["oldStart"] + shift, 1)
+        was = [x[1:] for x in h["lines"] if x[:1] in (" ", "-")]
+        now = [x[1:] for x in h["lines"] if x[:1] in (" ", "+")]
+        held = [known.get(n) for n in range(first, first + size)]
+        if None in held or not any(n in known for n in range(first - 1, first + size + 1)) or (len(was) == size and was != held):
+            return None
+        grown = len(now) - size
+        known = {n: t for n, t in known.items() if n < first} | dict(enumerate(now, first)) | {n + grown: t for n, t in known.items() if n >= first + size}
+        shift += h["newLines"] - size
+    return known
+
+
 def runs(known: dict[int, str]) -> list[tuple[int, str]]:
     """Runs of neighbouring lines: where each begins, and its text."""
     out: list[tuple[int, list[str]]] = []
@@ -94,7 +133,8 @@ def runs(known: dict[int, str]) -> list[tuple[int, str]]:
 
 
 def recover(events: DataFrame, until_line: int | None = None) -> DataFrame:
-    """path, text (null where lines are missing), known_lines, holes, boundaries: each file as it was after a line."""
+    """path, text (null where lines are missing), known_lines, holes, boundaries, gaps (runs of missing lines up to the last
+    that is known or was told): each file as it was after a line."""
     if until_line is not None:
         events = events.filter(F.col("line_no") <= until_line)
 
@@ -102,6 +142,9 @@ def recover(events: DataFrame, until_line: int | None = None) -> DataFrame:
         pdf = pdf.sort_values(["session_id", "line_no"]).astype(object)
         known, whole, holes, hard = replay(pdf.where(pdf.notna(), None).to_dict("records"))
         full = whole is not None and set(known) == set(range(1, whole + 1))
-        return pd.DataFrame([(pdf["path"].iloc[0], "\n".join(known[n] for n in sorted(known)) if full else None, len(known), holes, hard)], columns=["path", "text", "known_lines", "holes", "boundaries"])
+        told = pdf["total"].dropna()
+        row = (pdf["path"].iloc[0], "\n".join(known[n] for n in sorted(known)) if full else None, len(known), holes, hard, sorted(known), whole or (int(told.iloc[-1]) if len(told) else None))
+        return pd.DataFrame([row], columns=["path", "text", "known_lines", "holes", "boundaries", "at", "total"])
 
-    return events.groupBy("path").applyInPandas(one, "path string, text string, known_lines long, holes long, boundaries long")
+    done = events.groupBy("path").applyInPandas(one, "path string, text string, known_lines long, holes long, boundaries long, at array<long>, total long")
+    return done.withColumn("gaps", texts.gaps(F.col("at"), F.col("total"))).drop("at", "total")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import diff, grammar, ids, paths, text, times
-from tracelake.operators import aggregate, graph, joins, live, search, verbatim
+from tracelake.operators import agents, aggregate, graph, joins, live, search, verbatim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -531,3 +531,26 @@ def time_texts(events):
 @query("SELECT doc_id, CAST(list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END)) AS BIGINT) AS units FROM documents WHERE length(text) > 0")
 def utf16_length(documents):
     return documents.filter(F.length("text") > 0).select("doc_id", ids.utf16_units(F.col("text")).alias("units"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey AS order_key, l_linenumber AS k, lag(l_linenumber, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before,
+lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS after FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 20))
+SELECT order_key, CAST(before + 1 AS BIGINT) AS first, CAST(k - 1 AS BIGINT) AS last FROM n WHERE k > before + 1
+UNION ALL SELECT order_key, CAST(k + 1 AS BIGINT), CAST(7 AS BIGINT) FROM n WHERE after IS NULL AND k < 7""")
+def line_gaps(lineitem):
+    known = lineitem.filter("l_quantity > 20").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("at"))
+    return known.select(F.col("l_orderkey").alias("order_key"), F.inline(text.gaps(F.col("at"), F.lit(7))))
+
+
+@query("""WITH s AS (SELECT user_id AS name, ts, event_id FROM events WHERE event_type = 'signup'), a AS (SELECT user_id AS name, ts, event_id FROM events WHERE event_type = 'click')
+SELECT a.event_id AS agent, coalesce((SELECT max(struct_pack(t := s.ts, i := s.event_id)) FROM s WHERE s.name = a.name AND s.ts <= a.ts).i,
+(SELECT min(s.event_id) FROM s WHERE s.name = a.name)) AS spawn FROM a""")
+def spawn_by_name(events):
+    calls = events.filter("event_type = 'signup'").select(
+        F.lit("s").alias("session_id"), F.lit(None).cast("string").alias("issuer"), F.col("event_id").alias("line_no"), F.col("event_id").cast("string").alias("call_id"), F.lit("Agent").alias("name"),
+        F.to_json(F.struct(F.col("user_id").cast("string").alias("name"))).alias("input"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
+    )
+    mates = events.filter("event_type = 'click'").select(
+        F.lit("s").alias("session_id"), F.col("event_id").cast("string").alias("agent_id"), F.col("user_id").cast("string").alias("name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("started")
+    )
+    return agents.by_name(mates, agents.spawns(calls)).select(F.col("agent_id").cast("long").alias("agent"), F.col("spawn_id").cast("long").alias("spawn"))
