@@ -11,6 +11,15 @@ def census(rows: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("key", key).filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key")
 
 
+def by_record(hits: DataFrame, keys: list[str], session: str = "session_id", line: str = "line_no", section: str = "section") -> DataFrame:
+    """Hits of a record's sections as one row a record, with the first value of each key that a section has. Hits without
+    a line stand for themselves."""
+    alone = F.col(line).isNull() | (F.col(line) <= 0)
+    first = [F.min_by(F.col(k), F.when(F.col(k).isNotNull(), F.col(section))).alias(k) for k in keys]
+    own = hits.filter(alone).select(session, line, *keys)
+    return hits.filter(~alone).groupBy(session, line).agg(*first).unionByName(own)
+
+
 def census_multi(rows: DataFrame, keys: Column) -> DataFrame:
     """A row counts once for each of its distinct keys."""
     return census(rows.select(F.explode(F.array_distinct(keys)).alias("k")), F.col("k"))

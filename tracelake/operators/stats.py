@@ -27,3 +27,15 @@ def tools(calls: DataFrame, results: DataFrame) -> DataFrame:
     once = results.groupBy("session_id", "call_id").agg(F.max("failed").alias("failed"))
     j = calls.join(once, ["session_id", "call_id"], "left")
     return j.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("failed"), 1)).alias("failures"), F.count(F.when(F.col("failed").isNull(), 1)).alias("pending"))
+
+
+def line_types(lines: DataFrame) -> DataFrame:
+    """session_id, type, n: all lines that are JSON objects, by type; those without one are (untyped)."""
+    kind = F.coalesce(F.expr("try_variant_get(try_parse_json(value), '$.type', 'string')"), F.lit("(untyped)"))
+    objects = lines.filter(F.ltrim("value").startswith("{") & F.expr("try_parse_json(value) IS NOT NULL"))
+    return objects.groupBy("session_id", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scope(sessions: DataFrame) -> DataFrame:
+    """One row: how many sessions and agents, and the first and last time of all. sessions: is_subagent, first_ts, last_ts."""
+    return sessions.agg(F.count(F.when(~F.col("is_subagent"), 1)).alias("sessions"), F.count(F.when(F.col("is_subagent"), 1)).alias("agents"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))

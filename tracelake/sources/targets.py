@@ -174,3 +174,27 @@ def marked(lines: DataFrame, marker: str) -> DataFrame:
         raise ValueError("a marker has 6 characters or more that neither JSON nor a shell escapes")
     said = lines.filter(F.col("value").contains(marker) & F.col("value").contains("tool_use") & F.col("value").contains('"Bash"'))
     return said.groupBy("path", "session_id", "is_subagent").agg(F.min("line_no").alias("line_no"))
+
+
+def copies(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, kept (the copy that stays), relation (identical, prefix, divergent), dropped: transcripts of one id that stand
+    at several paths.
+
+    The largest copy stays, of equal ones that with the smallest path. Where every other is equal to its beginning (the
+    last line may be cut) they are dropped; where one differs, all stay. files: files(); lines: path, line_no, value."""
+    owner = ["session_id", "is_subagent"]
+    groups = files.groupBy(*owner).agg(F.count(F.lit(1)).alias("n"), F.min_by("path", F.struct((-F.col("bytes")).alias("b"), "path")).alias("kept"), F.max("bytes").alias("most")).filter("n > 1")
+    members = files.join(groups, owner).select("path", "kept", "bytes", "most")
+    # hashes alone are compared, line by line at equal places; the text itself only of a copy's last line
+    last = lines.groupBy("path").agg(F.max("line_no").alias("__last"))
+    ours = lines.join(members.filter("path <> kept").select("path", "kept"), "path").join(last, "path")
+    ours = ours.select("path", "kept", "line_no", F.sha1(F.col("value").cast("binary")).alias("__sha"), F.when(F.col("line_no") == F.col("__last"), F.col("value")).alias("__end"))
+    tails = ours.filter("__end IS NOT NULL").select("kept", "line_no").distinct()
+    theirs = lines.join(members.select(F.col("kept").alias("path")).distinct(), "path").select(F.col("path").alias("kept"), "line_no", F.sha1(F.col("value").cast("binary")).alias("__of"), "value")
+    wanted = theirs.join(tails.withColumn("__tail", F.lit(True)), ["kept", "line_no"], "left").select("kept", "line_no", "__of", F.when(F.col("__tail"), F.col("value")).alias("__text"))
+    same = F.coalesce(F.col("__sha") == F.col("__of"), F.lit(False)) | F.coalesce(F.startswith(F.col("__text"), F.col("__end")), F.lit(False))
+    differ = ours.join(wanted, ["kept", "line_no"], "left").filter(~same).select("path").distinct().withColumn("__differs", F.lit(True))
+    judged = members.join(differ, "path", "left")
+    worst = F.when(F.col("__differs"), 2).when(F.col("bytes") < F.col("most"), 1).otherwise(0)
+    relation = judged.groupBy("kept").agg(F.max(worst).alias("w")).select("kept", F.element_at(F.array(F.lit("identical"), F.lit("prefix"), F.lit("divergent")), F.col("w") + 1).alias("relation"))
+    return members.join(relation, "kept").select("path", "kept", "relation", ((F.col("path") != F.col("kept")) & (F.col("relation") != "divergent")).alias("dropped"))
